@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialize, text_of
+from tagloom.llm.common import materialize, row_key, text_of
 from tagloom.llm.graph import components
 
 
@@ -165,3 +165,14 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int |
     return each.join(named, F.col("fp") == F.col("__fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 4, blocks: int | None = None) -> DataFrame:
+    """docs without near duplicates: of each group the row with the smallest doc_id
+    stays (a null id is greatest; ties go by a hash of the row), and rows that are
+    equal in doc_id and text count once."""
+    keyed = docs.withColumn("__row", row_key("doc_id", "text"))
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("doc_id"), "text")
+    groups = near_groups(named, width, radius, blocks)
+    kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.__row").alias("__kept")).distinct())
+    return keyed.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
