@@ -326,7 +326,7 @@ def decode(doc: Column, kind: T.DataType, meta: dict | None = None, dialect: str
     A null document gives null for both."""
     compile_type(kind, meta, dialect)  # wrong schemas fail here, on the driver
     out = T.StructType([T.StructField("value", kind), T.StructField("error", parse_type(ERROR))])
-    out = _nullable(out)
+    out = nullable(out)
     arrow = to_arrow_type(out)
     held: dict[str, Any] = {}
 
@@ -349,13 +349,14 @@ def decode(doc: Column, kind: T.DataType, meta: dict | None = None, dialect: str
     return F.arrow_udf(run, out).asNondeterministic()(doc)
 
 
-def _nullable(kind: T.DataType) -> T.DataType:
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed throughout."""
     if isinstance(kind, T.StructType):
-        return T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in kind.fields])
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in kind.fields])
     if isinstance(kind, T.ArrayType):
-        return T.ArrayType(_nullable(kind.elementType), True)
+        return T.ArrayType(nullable(kind.elementType), True)
     if isinstance(kind, T.MapType):
-        return T.MapType(kind.keyType, _nullable(kind.valueType), True)
+        return T.MapType(kind.keyType, nullable(kind.valueType), True)
     return kind
 
 
@@ -363,7 +364,7 @@ def decode_strict(doc: Column, kind: T.DataType, meta: dict | None = None, diale
     """The value; the first wrong document stops the query."""
     both = decode(doc, kind, meta, dialect, framed)
     wrong = F.concat(F.lit("document: "), both["error"]["code"], F.coalesce(F.concat(F.lit(" "), both["error"]["detail"]), F.lit("")))
-    return F.when(both["error"].isNotNull(), F.raise_error(wrong).cast(_nullable(kind).simpleString())).otherwise(both["value"])
+    return F.when(both["error"].isNotNull(), F.raise_error(wrong).cast(nullable(kind).simpleString())).otherwise(both["value"])
 
 
 def payload_length(doc: Column, tag: Column) -> Column:

@@ -17,12 +17,11 @@ from tagloom.functions import cesu8
 from tagloom.functions import tags as G
 from tagloom.functions.errors import ERROR, DocumentError
 from tagloom.functions.types import parse_type
-from tagloom.operators.decode import _DTYPES, _NUMBERS
+from tagloom.operators.decode import _DTYPES
 from tagloom.plans.schema import Entry, Node, compile_type
 
 Writer = Callable[[Any], bytes]
 _FORMATS = {("int", G.BYTE): ">b", ("int", G.SHORT): ">h", ("int", G.INT): ">i", ("int", G.LONG): ">q", ("float", G.FLOAT): ">f", ("float", G.DOUBLE): ">d", ("u8", G.BYTE): ">B"}
-assert _FORMATS.keys() == _NUMBERS.keys()
 
 
 def write_count(n: int) -> bytes:

@@ -15,12 +15,11 @@ from tagloom.functions import cesu8
 from tagloom.functions import tags as G
 from tagloom.functions.errors import ERROR, DocumentError
 from tagloom.functions.types import parse_type
-from tagloom.operators.decode import _DTYPES, DEPTH, list_header, need, read_bytes, read_count, read_tag
+from tagloom.operators.decode import DEPTH, list_header, need, read_bytes, read_count, read_tag
 
 NODE = "struct<path:string,tag:tinyint,size:int,number:bigint,real:double,text:string,data:binary>"
 _UNPACK = {tag: struct.Struct(dtype) for tag, dtype in {G.BYTE: ">b", G.SHORT: ">h", G.INT: ">i", G.LONG: ">q", G.FLOAT: ">f", G.DOUBLE: ">d"}.items()}
 _INNER = {G.INT_ARRAY: G.INT, G.LONG_ARRAY: G.LONG}
-assert _UNPACK.keys() == _DTYPES.keys()
 
 
 def walk(data: bytes, at: int, tag: int, path: str, out: list[dict], depth: int = DEPTH) -> int:
