@@ -85,8 +85,9 @@ def windows(docs: DataFrame, widths: list[int]) -> DataFrame:
 
 def _slots(table: DataFrame, keys: list[str]) -> DataFrame:
     """keys, width, ix, h, slots (type and value) for every window with placeholders."""
-    each = table.select(*keys, "__c", "__raw", F.explode("__h").alias("hs")).select(*keys, "__c", "__raw", "hs.width", F.posexplode("hs.hashes").alias("ix", "h"))
-    at = F.arrays_zip(F.slice("__c", F.col("ix") + 1, F.col("width")).alias("c"), F.slice("__raw", F.col("ix") + 1, F.col("width")).alias("r"))
+    each = table.select(*keys, "__c", "__raw", F.explode_outer("__h").alias("hs")).select(*keys, "__c", "__raw", "hs.width", F.posexplode_outer("hs.hashes").alias("ix", "h"))
+    # not slice(), which copies the whole array each time
+    at = F.transform(F.sequence(F.col("ix"), F.col("ix") + F.col("width") - 1), lambda i: F.struct(F.get("__c", i).alias("c"), F.get("__raw", i).alias("r")))
     slots = F.filter(at, lambda z: z["c"].isin(NUMBER, UNIT, NAME))
     return each.where("h is not null").select(*keys, "ix", "h", F.transform(slots, lambda z: F.concat(z["c"], F.lower(z["r"]))).alias("slots")).where(F.size("slots") > 0)
 
@@ -98,13 +99,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     short = sorted(r[0] for r in items.where(f"__n between 1 and {width - 1}").select("__n").distinct().collect())  # fewer than `width` rows
     widths = [width, *short]
     cut = materialize(windows(benchmark.select("item_id", "text"), widths).withColumn("__n", F.size("__c")))
-    held = cut.select("item_id", "__n", F.explode("__h").alias("hs")).where(f"hs.width = least(__n, {width})")
-    wanted = materialize(held.select("item_id", F.explode("hs.hashes").alias("h")).where("h is not null").distinct())
+    held = cut.select("item_id", "__n", F.explode_outer("__h").alias("hs")).where(f"hs.width = least(__n, {width})")
+    wanted = materialize(held.select("item_id", F.explode_outer("hs.hashes").alias("h")).where("h is not null").distinct())
     hint = F.broadcast if wanted.count() <= broadcast_rows else (lambda t: t)
 
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("__row"))
     every = F.array_distinct(F.flatten(F.transform("__h", lambda x: x["hashes"])))
-    found = windows(keyed, widths).select("doc_id", "__row", F.explode(every).alias("h"))
+    # outer: else a filter on the array's size is pushed down and computes it inside itself
+    found = windows(keyed, widths).select("doc_id", "__row", F.explode_outer(every).alias("h"))
     matched = found.where("h is not null").join(hint(wanted), "h").groupBy("__row", "doc_id", "item_id").agg(F.countDistinct("h").alias("n_matched"))
     totals = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
     near = materialize(matched.join(totals, "item_id").where(F.col("n_matched") >= share * F.col("n_windows")))

@@ -51,7 +51,9 @@ def with_chunks(docs: DataFrame, window: int = 2, divisor: int = 3) -> DataFrame
     def chunk(e: Column, k: Column) -> Column:
         start = F.when(k > 0, F.get("__ends", k - 1) + 1).otherwise(F.lit(0))
         n = e - start + 1
-        return F.struct(n.alias("n"), F.array_join(F.slice("__lines", start + 1, n), "\n").alias("text"))
+        # not slice(), which copies the whole array each time
+        lines = F.transform(F.sequence(start, e), lambda j: F.get("__lines", j))
+        return F.struct(n.alias("n"), F.array_join(lines, "\n").alias("text"))
 
     # __lines is named twice so that it is computed before, not inside, the lambda
     chunks = F.when(F.size("__lines") >= 0, F.transform("__ends", chunk))
@@ -62,7 +64,8 @@ def marked(docs: DataFrame, window: int, divisor: int, key: Callable[[Column], C
     """docs with __row and __drop, the places of chunks to remove."""
     named = docs.withColumn("__row", row_key("doc_id", "text"))
     chunked = with_chunks(named, window, divisor)
-    each = chunked.select("doc_id", "__row", F.posexplode("__chunks").alias("ix", "chunk")).where("chunk.n > 1")
+    # outer: else a filter on the array's size is pushed down and computes it inside itself
+    each = chunked.select("doc_id", "__row", F.posexplode_outer("__chunks").alias("ix", "chunk")).where("chunk.n > 1")
     spots = materialize(each.select(key(F.col("chunk.text")).alias("h"), F.struct("doc_id", "__row", "ix").alias("at")))
     firsts = spots.groupBy("h").agg(F.min("at").alias("first"), F.min("at").alias("low"), F.max("at").alias("high"))
     repeated = spots.join(firsts.where("low != high"), "h")

@@ -63,7 +63,7 @@ def parts(docs: DataFrame) -> DataFrame:
     one row with a null rank for each text."""
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("__row"), text_of().alias("text"))
     found = F.concat(F.array(F.lit(None).cast("struct<rank:int,i:int,gap:int,len:int,ok:boolean>")), *[_matches(k, *p) for k, p in enumerate(PARTS)])
-    each = texts.select("doc_id", "__row", F.explode(found).alias("m")).select("doc_id", "__row", "m.*")
+    each = texts.select("doc_id", "__row", F.explode_outer(found).alias("m")).select("doc_id", "__row", "m.*")
     so_far = Window.partitionBy("__row", "rank").orderBy("i")
     end = F.sum(F.col("gap") + F.coalesce("len", F.lit(0))).over(so_far)
     spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
