@@ -1,7 +1,7 @@
 """Benchmark decontamination by canonical templates.
 
 Texts become tokens; a number, a unit after a number and a capitalised word inside a
-sentence become typed placeholders, other words go to lower case.  Windows of `width`
+sentence become typed placeholders that keep their value, other words go to lower case.  Windows of `width`
 canonical tokens are hashed and hash-joined with the benchmark's.  A document that
 holds at least `share` of an item's distinct windows is a candidate.  A candidate's
 placeholders must then bind consistently: each value of the item (say, 12 in two
@@ -28,77 +28,85 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import materialize, row_key, text_of
 
 #: Fixed values.
-UNITS = ["%", "mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "v", "usd", "eur", "dollars", "euros", "percent", "inches", "inch", "feet", "ft", "miles", "mile", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "years", "year", "meters", "metres", "grams", "liters", "litres", "degrees"]
-TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}_][\p{L}\p{N}_]*|%|[.!?\n]+"
-NUMBER, UNIT, NAME = "#n", "#u", "#p"
+UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "v", "usd", "eur", "dollars", "euros", "percent", "inches", "inch", "feet", "ft", "miles", "mile", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "years", "year", "meters", "metres", "grams", "liters", "litres", "degrees"]
+#: What marks a placeholder; texts' own are blanked.
+MARK = "\x01"
+NUMBER, UNIT, NAME = MARK + "n", MARK + "u", MARK + "p"
+_WORD = r"\p{L}\p{N}_"
+#: A capitalised word after another word with no end of a sentence between; digits that
+#: belong to no word; a unit after a number; what stands between tokens.
+_NAME = rf"(\p{{Lu}}(?<=[{_WORD}][^{_WORD}.!?\n]{{1,8}}\p{{Lu}})[\p{{Ll}}\p{{N}}_]*\p{{Ll}}[\p{{Ll}}\p{{N}}_]*)(?![{_WORD}])"
+_NUMBER = rf"([0-9](?<![{_WORD}][0-9])[0-9]*(?:[.,][0-9]+)*)"
+_UNIT = rf"({NUMBER}[0-9.,]+ {{1,2}})((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![{_WORD}])"
+_BETWEEN = rf"(?:[^{_WORD}{MARK}.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
 
 
-def canonical(docs: DataFrame) -> DataFrame:
-    """Adds __c, the canonical tokens, and __raw, the tokens they stand for."""
-    out = docs.withColumn("__t", F.regexp_extract_all(text_of(), F.lit(TOKEN), F.lit(0)))
-    out = out.withColumn("__z", F.arrays_zip(F.col("__t").alias("t"), F.concat(F.array(F.lit(".")), "__t").alias("p")))
-    first = lambda s: F.ascii(s)
-    digit = lambda s: first(s).between(48, 57)
-    stop = lambda s: first(s).isin(46, 33, 63, 10)
+def tokens(text: Column) -> Column:
+    """The tokens; a placeholder is a mark, its type, and the value it stands for."""
+    text = F.replace(text, F.lit(MARK), F.lit(" "))
+    text = F.regexp_replace(text, _NAME, f" {NAME}$1 ")
+    text = F.regexp_replace(text, _NUMBER, f" {NUMBER}$1 ")
+    text = F.regexp_replace(text, _UNIT, f"$1{UNIT}$2 ")
+    text = F.regexp_replace(text, rf"({NUMBER}[0-9.,]+ {{1,2}})%", f"$1{UNIT}percent ")
+    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
-    def name(s: Column) -> Column:
-        head, rest = F.substring(s, 1, 1), F.substring(s, 2, 1 << 30)
-        return (F.lower(head) != head) & (F.lower(rest) == rest) & (F.upper(rest) != rest)
 
-    kept = F.filter("__z", lambda z: z["t"].isNotNull() & ~stop(z["t"]))
+def _sign(token: Column) -> Column:
+    return F.when(token.startswith(MARK), F.substring(token, 1, 2)).otherwise(token)
 
-    def sign(z: Column) -> Column:
-        t = z["t"]
-        plain = F.lower(t)
-        return (
-            F.when(digit(t), NUMBER)
-            .when(digit(z["p"]) & plain.isin(UNITS), UNIT)
-            .when(~stop(z["p"]) & name(t), NAME)
-            .otherwise(plain)
-        )
 
-    out = out.withColumn("__k", kept)
-    return out.withColumns({"__c": F.transform("__k", sign), "__raw": F.transform("__k", lambda z: z["t"])}).drop("__t", "__z", "__k")
+def canonical(docs: DataFrame) -> DataFrame:
+    """Adds __t, the tokens."""
+    return docs.withColumn("__t", tokens(text_of()))
 
 
-def _plain(sign: Column) -> Column:
-    return F.when(sign.isin(NUMBER, UNIT, NAME), 0).otherwise(1)
+def signs() -> Column:
+    """The canonical tokens."""
+    return F.transform("__t", _sign)
 
 
 def _hashes(width: int) -> Column:
     """The hash of every window of `width` of __g (token hashes), null if the window
-    has too few plain words (__w has 1 for a plain word)."""
-    def one(i: Column) -> Column:
-        at = [F.get("__g", i + k) for k in range(width)]
-        plain = sum((F.get("__w", i + k) for k in range(1, width)), F.get("__w", i))
-        return F.when(plain >= min(3, width), F.xxhash64(F.lit(width), *at))
+    has too few plain words (__w has 1 for a plain word; null if all are plain)."""
+    def plain(i: Column) -> Column:
+        return F.xxhash64(F.lit(width), *[F.get("__g", i + k) for k in range(width)])
+
+    def mixed(i: Column) -> Column:
+        words = sum((F.get("__w", i + k) for k in range(1, width)), F.get("__w", i))
+        return F.when(words >= min(3, width), plain(i))
 
     n = F.size("__g") - width
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), one)).otherwise(F.array().cast("array<bigint>"))
+    at = F.sequence(F.lit(0), F.greatest(n, F.lit(0)))
+    none = F.array().cast("array<bigint>")
+    return F.when(n < 0, none).when(F.col("__w").isNull(), F.transform(at, plain)).otherwise(F.transform(at, mixed))
 
 
 def windows(docs: DataFrame, widths: list[int]) -> DataFrame:
     """Adds __h, an array of (width, hashes) for the canonical texts."""
-    out = canonical(docs).withColumns({"__g": F.transform("__c", lambda c: F.xxhash64(c)), "__w": F.transform("__c", _plain)})
+    out = canonical(docs).withColumn("__some", F.exists("__t", lambda t: t.startswith(MARK)))
+    plain = F.transform("__t", lambda t: F.when(t.startswith(MARK), 0).otherwise(1))
+    out = out.withColumns({
+        "__g": F.when(F.col("__some"), F.transform("__t", lambda t: F.xxhash64(_sign(t)))).otherwise(F.transform("__t", lambda t: F.xxhash64(t))),
+        "__w": F.when(F.col("__some"), plain),
+    })
     return out.withColumn("__h", F.array(*[F.struct(F.lit(w).alias("width"), _hashes(w).alias("hashes")) for w in widths]))
 
 
 def _slots(table: DataFrame, keys: list[str]) -> DataFrame:
     """keys, width, ix, h, slots (type and value) for every window with placeholders."""
-    each = table.select(*keys, "__c", "__raw", F.explode_outer("__h").alias("hs")).select(*keys, "__c", "__raw", "hs.width", F.posexplode_outer("hs.hashes").alias("ix", "h"))
+    each = table.select(*keys, "__t", F.explode_outer("__h").alias("hs")).select(*keys, "__t", "hs.width", F.posexplode_outer("hs.hashes").alias("ix", "h"))
     # not slice(), which copies the whole array each time
-    at = F.transform(F.sequence(F.col("ix"), F.col("ix") + F.col("width") - 1), lambda i: F.struct(F.get("__c", i).alias("c"), F.get("__raw", i).alias("r")))
-    slots = F.filter(at, lambda z: z["c"].isin(NUMBER, UNIT, NAME))
-    return each.where("h is not null").select(*keys, "ix", "h", F.transform(slots, lambda z: F.concat(z["c"], F.lower(z["r"]))).alias("slots")).where(F.size("slots") > 0)
+    at = F.transform(F.sequence(F.col("ix"), F.col("ix") + F.col("width") - 1), lambda i: F.get("__t", i))
+    return each.where("h is not null").select(*keys, "ix", "h", F.filter(at, lambda t: t.startswith(MARK)).alias("slots")).where(F.size("slots") > 0)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, n_slots, n_consistent and __row (the
     document's row key) for every document that leaks an item."""
-    items = canonical(benchmark.select("item_id", "text")).withColumn("__n", F.size("__c"))
+    items = canonical(benchmark.select("item_id", "text")).withColumn("__n", F.size("__t"))
     short = sorted(r[0] for r in items.where(f"__n between 1 and {width - 1}").select("__n").distinct().collect())  # fewer than `width` rows
     widths = [width, *short]
-    cut = materialize(windows(benchmark.select("item_id", "text"), widths).withColumn("__n", F.size("__c")))
+    cut = materialize(windows(benchmark.select("item_id", "text"), widths).withColumn("__n", F.size("__t")))
     held = cut.select("item_id", "__n", F.explode_outer("__h").alias("hs")).where(f"hs.width = least(__n, {width})")
     wanted = materialize(held.select("item_id", F.explode_outer("hs.hashes").alias("h")).where("h is not null").distinct())
     hint = F.broadcast if wanted.count() <= broadcast_rows else (lambda t: t)

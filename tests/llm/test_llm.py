@@ -250,7 +250,9 @@ def test_decontamination(spark):
 
 def test_canonical(spark):
     docs = table(spark, ["The cat saw Anna. She ran 3.5 km, then 7 miles at 20%! NOT Paris"])
-    assert decontam.canonical(docs).first()["__c"] == "the cat saw #p she ran #n #u then #n #u at #n #u not #p".split()
+    row = decontam.canonical(docs).select("__t", decontam.signs().alias("c")).first()
+    assert " ".join(row["c"]).replace("\x01", "#") == "the cat saw #p she ran #n #u then #n #u at #n #u not #p"
+    assert [t[2:] for t in row["__t"] if t[0] == "\x01"] == ["anna", "3.5", "km", "7", "miles", "20", "percent", "paris"]
 
 
 def brute_chunks(text, window=2, divisor=3):
