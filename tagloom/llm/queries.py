@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import read, text_of
+from tagloom.llm.oracles import LINES, SECRETS, SUFFIX
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_media, op2_packing, op3_tokens, op4_suffix_dedup, op5_secrets, op6_decontamination, op7_toxicity, op8_line_dedup, op9_sharding, op10_simhash)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_suffix_dedup": SUFFIX, "op5_secrets": SECRETS, "op8_line_dedup": LINES}
