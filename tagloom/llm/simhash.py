@@ -11,8 +11,8 @@ only the edges within the radius of its own distance.
 A subtree under an edge of at most `radius` lies wholly within reach of the parent,
 so it is one component: a fingerprint that belongs to that component skips it, and any
 other leaves it at the first hit.  A dense group of near copies thus costs neither all
-its pairs nor all their links; each shard reports one link per fingerprint, to its
-component's first one, and components() joins the shards.
+its pairs nor all their links; each shard reports one link per fingerprint and
+component it meets, and components() joins the shards.
 
 The trees of all shards together grow with the corpus, so they are not broadcast to
 every executor: shards and the fingerprints that search them meet by a shuffle.
@@ -54,7 +54,10 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 def fingerprint(text: str, width: int = 4) -> int:
     """The bits set in over half the shingles' hashes, as a signed 64-bit integer."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):  # 4 MB of bits at a time
         part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
@@ -63,17 +66,24 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
+def fingerprints(docs: DataFrame, width: int = 4, sizes: bool = False) -> DataFrame:
+    """doc_id and fp for every row of docs; with sizes also n, the distinct shingles."""
 
-    return docs.select("doc_id", of(text_of()).alias("fp"))
+    @F.pandas_udf("fp long, n long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            hashes = shingle_hashes(t, width)
+            rows.append((majority(hashes), len(np.unique(hashes)) if sizes else 0))
+        return pd.DataFrame(rows, columns=["fp", "n"], dtype="int64")
+
+    return docs.select("doc_id", of(text_of()).alias("f")).select("doc_id", "f.fp", *(["f.n"] if sizes else []))
 
 
 def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     """Links that join every two of the distinct values within the radius, through
-    others if need be: one for each value that is not first in its component."""
+    others if need be: at most one for each value and component that it meets, to the
+    nearest value met there."""
     n = len(values)
     above = list(range(n))
 
@@ -83,21 +93,24 @@ def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
             x = above[x]
         return x
 
+    out: list[tuple[int, int]] = []
     children: list[dict[int, int]] = [{} for _ in range(n)]
     for x in range(1, n):
         v, todo = values[x], [(0, -1)]
+        near: dict[int, tuple[int, int]] = {}  # component: distance, place
         while todo:
             node, home = todo.pop()
-            if home >= 0 and top(x) == top(home):
+            if home >= 0 and top(home) in near:
                 continue
             d = (v ^ values[node]).bit_count()
             if d <= radius:
-                a, b = top(x), top(node)
-                if a != b:
-                    above[max(a, b)] = min(a, b)
+                near[top(node)] = min(near.get(top(node), (65, 0)), (d, node))
             for edge, child in children[node].items():
                 if d - radius <= edge <= d + radius:
                     todo.append((child, node if edge <= radius else home))
+        for root, (_, node) in near.items():
+            above[max(root, top(x))] = min(root, top(x))
+            out.append((v, values[node]))
         node = 0
         while True:
             d = (v ^ values[node]).bit_count()
@@ -105,7 +118,7 @@ def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
             if child == x:
                 break
             node = child
-    return [(values[x], values[top(x)]) for x in range(n) if above[x] != x]
+    return out
 
 
 def shard_keys(fp: Column, blocks: int, radius: int) -> Column:
@@ -122,7 +135,11 @@ def shard_keys(fp: Column, blocks: int, radius: int) -> Column:
 def near_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Links a, b between the distinct values of fps.fp, enough to join all that lie
     within the radius.  More blocks make smaller shards and more copies of each row."""
-    blocks = radius + 2 if blocks is None else blocks
+    return shard_links(fps, shard_keys(F.col("fp"), radius + 2 if blocks is None else blocks, radius), radius)
+
+
+def shard_links(fps: DataFrame, keys: Column, radius: int) -> DataFrame:
+    """The links that the BK-trees of the shards named by keys find."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
@@ -138,7 +155,7 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> Da
 
         for batch in batches:
             keys, values = (batch.column(i).to_numpy() for i in (0, 1))
-            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
             for i, j in zip(cuts, [*cuts[1:], len(keys)]):
                 if keys[i] != key:
                     close()
@@ -149,30 +166,86 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> Da
         close()
         yield flush()
 
-    dealt = fps.select(F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("key"), "fp")
+    dealt = fps.select(F.explode(keys).alias("key"), "fp")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
 
 
+def _components(each: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """each (doc_id, fp) with component_id, the smallest doc_id that links reach."""
+    roots = components(links)
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(lowest, "root").select(F.col("fp").alias("__fp"), "component_id")
+    return each.join(named, F.col("fp") == F.col("__fp")).drop("__fp")
+
+
 def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that
     links reach, for every row of docs."""
     each = materialize(fingerprints(docs, width))
     distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(near_links(distinct.select("fp"), radius, blocks))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return each.join(named, F.col("fp") == F.col("__fp")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = _components(each, distinct, near_links(distinct.select("fp"), radius, blocks))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sampled_keys(fp: Column, tables: int, bits: int) -> Column:
+    """A key for each of `tables` choices of `bits` bits, drawn once and for all."""
+    rng = np.random.default_rng(64)
+    keys = []
+    for i in range(tables):
+        mask = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
+        mask -= (mask >> 63) << 64
+        keys.append(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(mask).cast("long"))))
+    return F.array(*keys)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts (fp, text; one for each) have that
+    Jaccard similarity of their sets of shingles, or more."""
+
+    @F.pandas_udf("binary")
+    def shingles(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: np.unique(shingle_hashes(t, width)).tobytes())
+
+    @F.pandas_udf("double")
+    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: bytes, y: bytes) -> float:
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            return both / max(1, len(p) + len(q) - both)
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    sets = materialize(texts.select("fp", shingles("text").alias("set")))
+    left, right = sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), sets.select(F.col("fp").alias("b"), F.col("set").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(jaccard("x", "y") >= similarity).select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 4, blocks: int | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12, tables: int = 64, bits: int = 17) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id
     stays (a null id is greatest; ties go by a hash of the row), and rows that are
-    equal in doc_id and text count once."""
+    equal in doc_id and text count once.
+
+    Texts whose shingles are as similar as that differ in up to a dozen bits, too many
+    for blocks that must agree.  Shards are chosen by samples of bits instead: two
+    fingerprints that differ in d bits share a sample with probability (1 - d/64)^bits,
+    so 64 samples of 17 miss 0.02 % of those at 7 bits, 2.6 % at 10, 15 % at 12.  Each
+    shard's BK-tree is searched with the larger radius; the links it finds hold if the
+    texts' shingles are `similarity` alike, which is computed exactly after lengths that
+    rule it out."""
     keyed = docs.withColumn("__row", row_key("doc_id", "text"))
     named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("doc_id"), "text")
-    groups = near_groups(named, width, radius, blocks)
+    each = materialize(fingerprints(named, width, sizes=True))
+    distinct = materialize(each.groupBy("fp").agg(F.min(F.struct("doc_id", "n")).alias("m")).select("fp", F.col("m.doc_id").alias("first"), F.col("m.n").alias("n")))
+    each = each.drop("n")
+    found = shard_links(distinct.select("fp"), sampled_keys(F.col("fp"), tables, bits), radius)
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    size = lambda end: distinct.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"))
+    sized = found.join(size("a"), "a").join(size("b"), "b")
+    pairs = materialize(sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    ends = ends.join(distinct, "fp").select("fp", F.col("first.__row").alias("__end"))
+    texts = keyed.select("__row", text_of().alias("text")).join(ends, F.col("__row") == F.col("__end")).dropDuplicates(["fp"])
+    groups = _components(each, distinct, verified(pairs, texts, width, similarity))
     kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.__row").alias("__kept")).distinct())
     return keyed.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -369,7 +369,7 @@ def test_bk_trees(spark, spread):
     values = sorted(values)
     wanted = groups_of(values, lambda a, b: (a ^ b).bit_count() <= 4)
     links = simhash.tree_links(values, 4)
-    assert len(links) == len(values) - len(set(wanted.values()))
+    assert len(links) == len(values) - len(set(wanted.values())) and all((a ^ b).bit_count() <= 4 for a, b in links)
     signed = lambda v: v - (v >> 63 << 64)
     found = simhash.components(simhash.near_links(spark.createDataFrame([(signed(v),) for v in values], "fp long")))
     sets = defaultdict(set)
@@ -387,6 +387,13 @@ def test_keep_one(spark):
     docs = table(spark, texts + texts[:4] + texts[:1], [*range(10), 20, 21, 22, 23, 0])
     left = simhash.keep_one(docs)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == list(range(10))
+    # copies with some other words, and texts that merely share a half
+    whole = [words(rng, 300, 10**6) for _ in range(12)]
+    near = [" ".join("new" if i % 100 == k else w for i, w in enumerate(t.split())) for k, t in enumerate(whole)]
+    half = [" ".join(t.split()[:150]) + " " + words(rng, 150, 10**6) for t in whole]
+    left = simhash.keep_one(table(spark, whole + near + half))
+    assert sorted(r["doc_id"] for r in left.collect()) == [*range(12), *range(24, 36)]
+    assert simhash.keep_one(table(spark, [None, "", " ", "a", "A"])).count() == 2 and simhash.keep_one(table(spark, [])).count() == 0
 
 
 def test_fold():
