@@ -85,7 +85,7 @@ def features(folded: str, shortest: int = 4, longest: int = 8) -> set[str]:
 @dataclass
 class Lexicon:
     weights: dict[str, float]
-    curve: Sequence[float] = (0.0, 0.0, 0.0, -50.0)  # of hits' rate, of their sum, of any, constant
+    curve: Sequence[float] = (0.0, 0.0, 0.0, 0.0, -50.0)  # for what measure() gives, and a constant
     exceptions: Sequence[str] = EXCEPTIONS
     _automaton: object = field(default=None, repr=False, compare=False)
 
@@ -106,9 +106,9 @@ class Lexicon:
             self._automaton = made
         return self._automaton
 
-    def measure(self, text: str) -> tuple[float, float, float]:
-        """The hits' weight per root of a hundred words, its sum's logarithm, and
-        whether there is any.  A word counts its greatest weight once."""
+    def measure(self, text: str) -> tuple[float, float, float, float]:
+        """The hits' weight per root of a hundred words, its sum's logarithm, whether
+        there is any, and the greatest.  A word counts its greatest weight once."""
         folded = fold(text)
         hits: dict[int, float] = {}
         excused: list[tuple[int, int]] = []
@@ -124,12 +124,11 @@ class Lexicon:
                 del hits[start]
         total = sum(hits.values())
         words = folded.count(" ") - 1
-        return total / math.sqrt(max(words, 1) / 100 + 1), math.log1p(total), float(bool(hits))
+        return total / math.sqrt(max(words, 1) / 100 + 1), math.log1p(total), float(bool(hits)), max(hits.values(), default=0.0)
 
     def score(self, text: str) -> float:
-        a, b, c, d = self.curve
-        x, y, z = self.measure(text)
-        at = a * x + b * y + c * z + d
+        *weights, constant = self.curve
+        at = sum(w * x for w, x in zip(weights, self.measure(text))) + constant
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, at))))
 
 
@@ -172,17 +171,17 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_00
 
     each = rows.select("text", "__toxic").mapInPandas(counted, "feature string, bad long, good long")
     sums = each.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least)
-    weight = F.log((F.col("bad") + 0.1) / toxic) - F.log((F.col("good") + 0.1) / clean)
+    weight = F.log((F.col("bad") + 0.5) / toxic) - F.log((F.col("good") + 1.0) / clean)
     top = sums.withColumn("weight", weight).where(F.col("weight") >= math.log(ratio)).orderBy((F.col("weight") * F.col("bad")).desc(), "feature").limit(entries)
     found = Lexicon({r["feature"]: float(r["weight"]) for r in top.collect()})
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rate, amount, any_ = zip(*map(found.measure, batch["text"])) if len(batch) else ((), (), ())
-            yield pd.DataFrame({"rate": rate, "amount": amount, "any": any_, "toxic": batch["__toxic"].astype("int64")})
+            out = pd.DataFrame(list(map(found.measure, batch["text"])), columns=["rate", "amount", "any", "most"], dtype="float64")
+            yield out.assign(toxic=batch["__toxic"].astype("int64").to_numpy())
 
-    seen = rows.select("text", "__toxic").mapInPandas(measured, "rate double, amount double, any double, toxic long").toPandas()  # `sample` rows of numbers
-    found.curve = logistic(seen[["rate", "amount", "any"]].to_numpy(float), seen["toxic"].to_numpy(float))
+    seen = rows.select("text", "__toxic").mapInPandas(measured, "rate double, amount double, any double, most double, toxic long").toPandas()  # `sample` rows of numbers
+    found.curve = logistic(seen[["rate", "amount", "any", "most"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return found
 
 
