@@ -181,7 +181,9 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         merges = load(model)
         for texts in batches:
-            yield pd.Series(count_tokens(texts.tolist(), merges))
+            # a few million characters at a time, so that the arrays stay small
+            part = texts.str.len().cumsum() // 3_000_000
+            yield pd.concat([pd.Series(count_tokens(own.tolist(), merges)) for _, own in texts.groupby(part)] or [pd.Series([], dtype="int64")])
 
     text = text_of()
     return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("n_tokens")).withColumn(
