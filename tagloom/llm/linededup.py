@@ -68,7 +68,9 @@ def marked(docs: DataFrame, window: int, divisor: int, key: Callable[[Column], C
     each = chunked.select("doc_id", "__row", F.posexplode_outer("__chunks").alias("ix", "chunk")).where("chunk.n > 1")
     spots = materialize(each.select(key(F.col("chunk.text")).alias("h"), F.struct("doc_id", "__row", "ix").alias("at")))
     firsts = spots.groupBy("h").agg(F.min("at").alias("first"), F.min("at").alias("low"), F.max("at").alias("high"))
-    repeated = spots.join(firsts.where("low != high"), "h")
+    # written, so that the join has an exchange of its own, which splits at a frequent hash
+    firsts = materialize(firsts.where("low != high").select("h", "first"))
+    repeated = spots.join(firsts, "h")
     marks = repeated.groupBy(F.col("at.__row").alias("__mark")).agg(
         F.collect_set(F.struct(F.col("at.ix").alias("ix"), "h", (F.col("at") != F.col("first")).alias("later"))).alias("__marks")
     )
