@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import text_of
+from tagloom.llm.common import materialize, text_of
 
 ITEM = "struct<pos:int,kind:string,text:string,src:string,digest:string,caption:string>"
 WIDTH = 64
@@ -120,10 +120,15 @@ def sequences(pages: DataFrame, key: str, html: Column) -> DataFrame:
     return pages.select(key, items(F.coalesce(html, F.lit(""))).alias("items"))
 
 
-def resolve(sequence: DataFrame, key: str, media: DataFrame) -> DataFrame:
-    """One row per item: key, the item's fields, and media's columns but its digest."""
-    rest = [c for c in media.columns if c != "digest"]
-    once = media.groupBy(F.col("digest").alias("__digest")).agg(*[F.first(c).alias(c) for c in rest])
+def distinct_media(media: DataFrame) -> DataFrame:
+    """One row for each digest."""
+    return media.groupBy("digest").agg(*[F.first(c).alias(c) for c in media.columns if c != "digest"])
+
+
+def resolve(sequence: DataFrame, key: str, media: DataFrame, distinct: bool = False) -> DataFrame:
+    """One row per item: key, the item's fields, and media's columns but its digest.
+    distinct: media has a digest once already."""
+    once = (media if distinct else distinct_media(media)).withColumnRenamed("digest", "__digest")
     each = sequence.select(key, F.explode("items").alias("item")).select(key, "item.*")
     return each.join(once, F.col("digest") == F.col("__digest"), "left").drop("__digest")
 
@@ -199,11 +204,12 @@ def text_media(docs: DataFrame) -> DataFrame:
     resolved.  Only digests and descriptions are joined; payloads stay in their tasks."""
     sized = docs.select("doc_id", F.monotonically_increasing_id().alias("__page"), padded(text_of()).alias("payload"), F.octet_length(text_of()).cast("long").alias("n_bytes"))
     digest = F.sha2("payload", 256)
-    media = described(stored(sized.select(digest.alias("digest"), "payload")))
+    # written, so that the join has an exchange of its own, which splits at a frequent digest
+    media = materialize(distinct_media(described(stored(sized.select(digest.alias("digest"), "payload")))))
     figure = F.concat(
         F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>")
     )
     pages = sized.select(F.struct("doc_id", "__page", "n_bytes").alias("page"), figure.alias("html"))
-    return resolve(sequences(pages, "page", F.col("html")), "page", media).select(
+    return resolve(sequences(pages, "page", F.col("html")), "page", media, distinct=True).select(
         "page.doc_id", "page.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption"
     )
