@@ -14,8 +14,8 @@ may be broadcast; scores cover every row and the whole text.
 
 Cases: null and empty texts get the score of a text without hits; repeated labels
 count once per doc_id (the greatest label); a label of null counts as none; without
-labels of both kinds the score is 0.5 * the share of nothing, that is 0; repeated rows
-score alike; an empty table gives no rows; extra columns are ignored.
+labels of both kinds there is no lexicon and every score is next to 0; repeated rows
+score alike; an empty table gives no rows; extra columns are kept.
 """
 
 from __future__ import annotations
