@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tagloom.functions import cesu8
 from tagloom.functions import tags as G
+from tagloom.functions import wire
 from tagloom.functions.types import parse_type
 from tagloom.operators.decode import check_skip, decode, nullable, payload_length
 from tagloom.operators.encode import big_endian, encode, encode_static, rehydrate
@@ -606,6 +607,25 @@ def model_seq_from_array(spark, sf_dir):
     return got.select("l_orderkey", "native", F.size("g").cast("bigint").alias("n"), F.aggregate("g", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
+# numbers inside bytes
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey - 100 AS long, (l_linenumber - 4)::BIGINT AS int, CASE WHEN l_linenumber >= 4 THEN (l_linenumber - 4)::BIGINT END AS count FROM lineitem")
+def wire_read_int(spark, sf_dir):
+    data = F.concat(big_endian(F.col("l_partkey") - 100, 8), big_endian(F.col("l_linenumber") - 4, 4))
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, data.alias("b"))
+    return rows.select(*LINE, wire.read_int(F.col("b"), 0, 8).alias("long"), wire.read_int(F.col("b"), 8, 4).alias("int"), wire.read_count(F.col("b"), 8).alias("count"))
+
+
+@query(f"SELECT p_partkey, {sql_int('p_size', 4)} || {sql_int('-p_size', 4)} AS bytes, CASE WHEN p_size % 2 = 0 THEN p_size END AS first, CASE WHEN p_size % 2 = 0 THEN 'ok' ELSE 'InvalidLength' END AS outcome FROM part")
+def wire_cast(spark, sf_dir):
+    """Odd sizes get a ragged end."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", wire.cast_to_bytes(F.array("p_size", -F.col("p_size")), "int").alias("b"))
+    ragged = F.when(F.col("p_size") % 2 == 0, F.col("b")).otherwise(F.concat("b", F.lit(b"x")))
+    got = rows.select("p_partkey", F.hex("b").alias("bytes"), wire.cast_from_bytes(ragged, "int").alias("c"))
+    return got.select("p_partkey", "bytes", F.get("c.value", F.lit(0)).alias("first"), F.coalesce("c.error.code", F.lit("ok")).alias("outcome"))
+
+
 # documents without a schema, streams
 
 
