@@ -66,18 +66,14 @@ def majority(hashes: np.ndarray) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, sizes: bool = False) -> DataFrame:
-    """doc_id and fp for every row of docs; with sizes also n, the distinct shingles."""
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id and fp for every row of docs."""
 
-    @F.pandas_udf("fp long, n long")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            hashes = shingle_hashes(t, width)
-            rows.append((majority(hashes), len(np.unique(hashes)) if sizes else 0))
-        return pd.DataFrame(rows, columns=["fp", "n"], dtype="int64")
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", of(text_of()).alias("f")).select("doc_id", "f.fp", *(["f.n"] if sizes else []))
+    return docs.select("doc_id", of(text_of()).alias("fp"))
 
 
 def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
@@ -188,19 +184,141 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4, blocks: int |
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sampled_keys(fp: Column, tables: int, bits: int) -> Column:
-    """A key for each of `tables` choices of `bits` bits, drawn once and for all."""
-    rng = np.random.default_rng(64)
-    keys = []
-    for i in range(tables):
-        mask = sum(1 << int(b) for b in rng.choice(64, bits, replace=False))
-        mask -= (mask >> 63) << 64
-        keys.append(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(mask).cast("long"))))
-    return F.array(*keys)
+def common_shingles(docs: DataFrame, width: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that occur in many of about `sample` distinct texts, ascending,
+    and in how many.  They only order prefixes: any order finds the same links."""
+
+    @F.pandas_udf("array<long>")
+    def each(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: np.unique(shingle_hashes(t, width)).view(np.int64))
+
+    every = max(1, docs.count() // sample)
+    some = docs.select(text_of().alias("text")).withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"])
+    counted = some.select(F.explode(each("text")).alias("s")).groupBy("s").count().where("count >= 4")
+    rows = counted.orderBy(F.desc("count"), "s").limit(most).toPandas()
+    found = rows["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], rows["count"].to_numpy(np.int64)[order]
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, fp (here a digest of the set of shingles), n (its size) and prefix: the
+    rarest shingles, so many that two sets as similar as that share one of them."""
+    common, often = common_shingles(docs, width)
+
+    @F.pandas_udf("fp long, n long, prefix array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        from xxhash import xxh64_intdigest
+
+        rows = []
+        for t in texts:
+            held = np.unique(shingle_hashes(t, width))
+            count = np.zeros(len(held), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+                count = np.where(common[at] == held, often[at], 0)
+            n = len(held)
+            first = n - least_overlap(n, similarity) + 1 if n else 0
+            digest = np.uint64(xxh64_intdigest(held.tobytes(), 42)).astype(np.int64)
+            rows.append((digest, n, held[np.lexsort((held, count))][:first].view(np.int64)))
+        return pd.DataFrame(rows, columns=["fp", "n", "prefix"])
+
+    return docs.select("doc_id", of(text_of()).alias("f")).select("doc_id", "f.fp", "f.n", "f.prefix")
+
+
+def least_overlap(n, similarity: float):
+    """What a set of n shares at least with any set as similar as that."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64) if isinstance(n, np.ndarray) else int(np.ceil(similarity * n - 1e-9))
+
+
+def _may_match(n, at, m, bt, similarity: float):
+    """Whether sets of n and m shingles whose first common one stands at `at` and `bt`
+    can be as similar as that, by their sizes and by what follows there."""
+    both = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - bt) >= both)
+
+
+def by_token(rows: DataFrame, f, schema: str) -> DataFrame:
+    """f over runs of whole groups of equal token, in order of token, n and fp; f takes
+    arrays by column and the groups' first places, and yields record batches."""
+    names = rows.columns
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            arrays = {c: table.column(c).to_numpy() for c in names}
+            token = arrays["token"]
+            if len(token):
+                yield from f(arrays, np.flatnonzero(np.r_[True, token[1:] != token[:-1]]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column("token").to_numpy()
+            cut = int(np.searchsorted(token, token[-1]))
+            if held and held[0].column("token")[0].as_py() == token[-1]:
+                held.append(batch)  # one group goes on through the whole batch
+                continue
+            yield from run(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = [batch.slice(cut)]
+        if held:
+            yield from run(pa.Table.from_batches(held))
+
+    return rows.repartition("token").sortWithinPartitions("token", "n", "fp").mapInArrow(search, schema)
+
+
+def shared_tokens(distinct: DataFrame, similarity: float) -> DataFrame:
+    """token, fp, n and at for every prefix shingle that several sets hold; one and two
+    are the group's first set and the one before, if they may match."""
+
+    def several(x: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(np.r_[starts, len(x["token"])])
+        first = np.repeat(starts, sizes)
+        place = np.arange(len(first))
+        before = np.maximum(first, place - 1)
+        links = []
+        for other in (first, before):
+            fits = (other != place) & _may_match(x["n"], x["at"], x["n"][other], x["at"][other], similarity)
+            links.append(pa.array(x["fp"][other], mask=~fits))
+        keep = pa.array(np.repeat(sizes > 1, sizes))
+        batch = pa.RecordBatch.from_arrays([*[pa.array(x[c]) for c in ("token", "fp", "n", "at")], *links], ["token", "fp", "n", "at", "one", "two"])
+        yield batch.filter(keep)
+
+    each = distinct.select("fp", "n", F.posexplode("prefix").alias("at", "token")).select("token", "fp", "n", F.col("at").cast("long").alias("at"))
+    return by_token(each, several, "token long, fp long, n long, at long, one long, two long")
+
+
+def cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of sets that share a token, may match and have different roots."""
+
+    def pairs(x: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1)], ["a", "b"])
+
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(x["token"])]):
+            n, at, fp, root = (x[c][i:j] for c in ("n", "at", "fp", "root"))
+            if (root == root[0]).all():
+                continue
+            for k in range(1, j - i):
+                fits = np.flatnonzero((root[:k] != root[k]) & _may_match(n[:k], at[:k], n[k], at[k], similarity))
+                if len(fits):
+                    other = fp[fits]
+                    out.append((np.minimum(other, fp[k]), np.maximum(other, fp[k])))
+                    held += len(fits)
+                if held >= 100_000:
+                    yield flush()
+                    out, held = [], 0
+        if out:
+            yield flush()
+
+    return by_token(shared.select("token", "fp", "n", "at", "root"), pairs, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts (fp, text; one for each) have that
+    """The pairs (a, b) of digests whose texts (fp, text; one for each) have that
     Jaccard similarity of their sets of shingles, or more."""
 
     @F.pandas_udf("binary")
@@ -221,31 +339,40 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").where(jaccard("x", "y") >= similarity).select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12, tables: int = 64, bits: int = 17) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id
     stays (a null id is greatest; ties go by a hash of the row), and rows that are
     equal in doc_id and text count once.
 
-    Texts whose shingles are as similar as that differ in up to a dozen bits, too many
-    for blocks that must agree.  Shards are chosen by samples of bits instead: two
-    fingerprints that differ in d bits share a sample with probability (1 - d/64)^bits,
-    so 64 samples of 17 miss 0.02 % of those at 7 bits, 2.6 % at 10, 15 % at 12.  Each
-    shard's BK-tree is searched with the larger radius; the links it finds hold if the
-    texts' shingles are `similarity` alike, which is computed exactly after lengths that
-    rule it out."""
+    Groups are what links of that Jaccard similarity or more join, none left out.
+    Fingerprints can't promise that (at 0.8 they differ in nine or ten bits on
+    average, in no fixed number at most), so candidates are sets that share a shingle
+    of their prefixes: of n shingles in one order for all, the first
+    n - ceil(similarity * n) + 1.  Sizes and places there rule out most of them; the
+    rest is computed exactly.  First each set is held against two of those it shares a
+    shingle with, and what is verified is joined, so that a dense group costs few of
+    its pairs.  Then every candidate across the groups so found is verified, too: a
+    pair is passed over only if verified links join it already."""
     keyed = docs.withColumn("__row", row_key("doc_id", "text"))
     named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("doc_id"), "text")
-    each = materialize(fingerprints(named, width, sizes=True))
-    distinct = materialize(each.groupBy("fp").agg(F.min(F.struct("doc_id", "n")).alias("m")).select("fp", F.col("m.doc_id").alias("first"), F.col("m.n").alias("n")))
-    each = each.drop("n")
-    found = shard_links(distinct.select("fp"), sampled_keys(F.col("fp"), tables, bits), radius)
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    size = lambda end: distinct.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"))
-    sized = found.join(size("a"), "a").join(size("b"), "b")
-    pairs = materialize(sized.where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b"))
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    ends = ends.join(distinct, "fp").select("fp", F.col("first.__row").alias("__end"))
-    texts = keyed.select("__row", text_of().alias("text")).join(ends, F.col("__row") == F.col("__end")).dropDuplicates(["fp"])
-    groups = _components(each, distinct, verified(pairs, texts, width, similarity))
+    each = materialize(prefixes(named, width, similarity))
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    distinct = materialize(distinct)
+    each, firsts = each.select("doc_id", "fp"), distinct.select("fp", "first")
+
+    def holding(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        ends = ends.join(firsts, "fp").select("fp", F.col("first.__row").alias("__end"))
+        texts = keyed.select("__row", text_of().alias("text")).join(ends, F.col("__row") == F.col("__end")).dropDuplicates(["fp"])
+        return materialize(verified(pairs, texts, width, similarity))
+
+    shared = materialize(shared_tokens(distinct, similarity))
+    two = shared.select("fp", F.explode(F.array("one", "two")).alias("other")).where("other is not null")
+    near = materialize(two.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
+    links = holding(near)
+    roots = components(links)
+    rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
+    rest = materialize(cross_pairs(rooted, similarity).join(near, ["a", "b"], "left_anti"))
+    groups = _components(each, firsts, links.unionByName(holding(rest)))
     kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.__row").alias("__kept")).distinct())
     return keyed.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")

@@ -396,6 +396,32 @@ def test_keep_one(spark):
     assert simhash.keep_one(table(spark, [None, "", " ", "a", "A"])).count() == 2 and simhash.keep_one(table(spark, [])).count() == 0
 
 
+def jaccard_groups(texts, width=5, similarity=0.8):
+    """The first of each group that pairs of that similarity join, by brute force."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
+    alike = lambda i, j: (both := len(sets[i] & sets[j])) >= similarity * (len(sets[i]) + len(sets[j]) - both)
+    return {i for i, root in groups_of(range(len(texts)), alike).items() if i == root}, sum(alike(i, j) for i in range(len(texts)) for j in range(i))
+
+
+def test_keep_one_dense(spark):
+    """Variants that only their base joins, and that meet each other first."""
+    rng = random.Random(16)
+    base = words(rng, 304, 10**6)
+    texts = []
+    for _ in range(120):
+        parts = base.split()
+        for k in rng.sample(range(5, 300), 5):  # apart or not: about 0.85 to the base
+            parts[k] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(parts))
+    texts.insert(70, base)
+    wanted, _ = jaccard_groups(texts)
+    assert len(wanted) < len(texts) / 4
+    assert {r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()} == wanted
+
+
 def test_fold():
     assert toxicity.fold("1d10t, ІDІОТ! m0r0n### é ｓｃｕｍ 1000 a$$hat") == " idiot idiot moron e scum asshat "
 
