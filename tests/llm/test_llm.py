@@ -422,6 +422,23 @@ def test_keep_one_dense(spark):
     assert {r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()} == wanted
 
 
+def test_keep_one_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.86 and a little less, of all lengths."""
+    rng = random.Random(17)
+    texts = []
+    for _ in range(150):
+        n = rng.randrange(60, 400)
+        parts = words(rng, n, 10**6).split()
+        other = list(parts)
+        for k in range(max(1, round(n * rng.uniform(0.04, 0.066)) // 5)):  # runs of five words, so that shingles go by nine
+            at = rng.randrange(n - 4)
+            other[at : at + 5] = words(rng, 5, 10**6).split()
+        texts += [" ".join(parts), " ".join(other)]
+    wanted, pairs = jaccard_groups(texts)
+    assert 40 < pairs < 140
+    assert {r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()} == wanted
+
+
 def test_fold():
     assert toxicity.fold("1d10t, ІDІОТ! m0r0n### é ｓｃｕｍ 1000 a$$hat") == " idiot idiot moron e scum asshat "
 
