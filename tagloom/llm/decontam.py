@@ -9,6 +9,11 @@ places) must stand for one value of the document in all windows where it occurs,
 at least `share` of the item's values.  That keeps questions asked again with other
 numbers or names and drops texts that merely share a pattern.
 
+A capitalised word that begins a sentence may be a name or not.  Windows that hold one
+are hashed in both readings, as the plain word and as a name, on both sides, and a
+window of the item counts as held if either is.  A document leaks if the plain readings
+alone suffice, or both together.
+
 Windows with fewer than three plain words carry too little to match and are left out
 on both sides.  An item shorter than a window is one window of its own length.
 
@@ -31,20 +36,25 @@ from tagloom.llm.common import materialize, row_key, text_of
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "v", "usd", "eur", "dollars", "euros", "percent", "inches", "inch", "feet", "ft", "miles", "mile", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "years", "year", "meters", "metres", "grams", "liters", "litres", "degrees"]
 #: What marks a placeholder; texts' own are blanked.
 MARK = "\x01"
+#: What marks a capitalised word that begins a sentence, while tokens are cut.
+MAYBE = "\x02"
 NUMBER, UNIT, NAME = MARK + "n", MARK + "u", MARK + "p"
 _WORD = r"\p{L}\p{N}_"
 #: A capitalised word after another word with no end of a sentence between; digits that
 #: belong to no word; a unit after a number; what stands between tokens.
 _NAME = rf"(\p{{Lu}}(?<=[{_WORD}][^{_WORD}.!?\n]{{1,8}}\p{{Lu}})[\p{{Ll}}\p{{N}}_]*\p{{Ll}}[\p{{Ll}}\p{{N}}_]*)(?![{_WORD}])"
+_FIRST = rf"(\p{{Lu}}(?<![{_WORD}]\p{{Lu}})[\p{{Ll}}\p{{N}}_]*\p{{Ll}}[\p{{Ll}}\p{{N}}_]*)(?![{_WORD}])"
 _NUMBER = rf"([0-9](?<![{_WORD}][0-9])[0-9]*(?:[.,][0-9]+)*)"
 _UNIT = rf"({NUMBER}[0-9.,]+ {{1,2}})((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![{_WORD}])"
-_BETWEEN = rf"(?:[^{_WORD}{MARK}.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
+_BETWEEN = rf"(?:[^{_WORD}{MARK}{MAYBE}.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
 
 
 def tokens(text: Column) -> Column:
-    """The tokens; a placeholder is a mark, its type, and the value it stands for."""
-    text = F.replace(text, F.lit(MARK), F.lit(" "))
+    """The tokens; a placeholder is a mark, its type, and the value it stands for; a
+    word that may be a name has another mark before it."""
+    text = F.translate(text, MARK + MAYBE, "  ")
     text = F.regexp_replace(text, _NAME, f" {NAME}$1 ")
+    text = F.regexp_replace(text, _FIRST, f" {MAYBE}$1 ")
     text = F.regexp_replace(text, _NUMBER, f" {NUMBER}$1 ")
     text = F.regexp_replace(text, _UNIT, f"$1{UNIT}$2 ")
     text = F.regexp_replace(text, rf"({NUMBER}[0-9.,]+ {{1,2}})%", f"$1{UNIT}percent ")
@@ -56,8 +66,13 @@ def _sign(token: Column) -> Column:
 
 
 def canonical(docs: DataFrame) -> DataFrame:
-    """Adds __t, the tokens."""
-    return docs.withColumn("__t", tokens(text_of()))
+    """Adds __t, the tokens, and __q, which of them may be names (null if none)."""
+    out = docs.withColumn("__raw", tokens(text_of()))
+    maybe = F.exists("__raw", lambda t: t.startswith(MAYBE))
+    return out.withColumns({
+        "__t": F.when(maybe, F.transform("__raw", lambda t: F.ltrim(t, F.lit(MAYBE)))).otherwise(F.col("__raw")),
+        "__q": F.when(maybe, F.transform("__raw", lambda t: F.when(t.startswith(MAYBE), 1).otherwise(0))),
+    }).drop("__raw")
 
 
 def signs() -> Column:
@@ -81,23 +96,50 @@ def _hashes(width: int) -> Column:
     return F.when(n < 0, none).when(F.col("__w").isNull(), F.transform(at, plain)).otherwise(F.transform(at, mixed))
 
 
+def _others(width: int) -> Column:
+    """The hash of every window of `width` that holds a word that may be a name, with
+    that read as a name; null for the rest and where too few plain words are left."""
+    def other(i: Column) -> Column:
+        total = lambda c: sum((F.get(c, i + k) for k in range(1, width)), F.get(c, i))
+        named = F.xxhash64(F.lit(width), *[F.when(F.get("__q", i + k) == 1, F.xxhash64(F.lit(NAME))).otherwise(F.get("__g", i + k)) for k in range(width)])
+        words = F.when(F.col("__w").isNull(), F.lit(width)).otherwise(total("__w"))
+        return F.when((total("__q") > 0) & (words - total("__q") >= min(3, width)), named)
+
+    n = F.size("__g") - width
+    return F.when((n >= 0) & F.col("__q").isNotNull(), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), other)).otherwise(F.array().cast("array<bigint>"))
+
+
 def windows(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """Adds __h, an array of (width, hashes) for the canonical texts."""
+    """Adds __h, an array of (width, hashes, others) for the canonical texts."""
     out = canonical(docs).withColumn("__some", F.exists("__t", lambda t: t.startswith(MARK)))
     plain = F.transform("__t", lambda t: F.when(t.startswith(MARK), 0).otherwise(1))
     out = out.withColumns({
         "__g": F.when(F.col("__some"), F.transform("__t", lambda t: F.xxhash64(_sign(t)))).otherwise(F.transform("__t", lambda t: F.xxhash64(t))),
         "__w": F.when(F.col("__some"), plain),
     })
-    return out.withColumn("__h", F.array(*[F.struct(F.lit(w).alias("width"), _hashes(w).alias("hashes")) for w in widths]))
+    return out.withColumn("__h", F.array(*[F.struct(F.lit(w).alias("width"), _hashes(w).alias("hashes"), _others(w).alias("others")) for w in widths]))
 
 
-def _slots(table: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, width, ix, h, slots (type and value) for every window with placeholders."""
-    each = table.select(*keys, "__t", F.explode_outer("__h").alias("hs")).select(*keys, "__t", "hs.width", F.posexplode_outer("hs.hashes").alias("ix", "h"))
-    # not slice(), which copies the whole array each time
-    at = F.transform(F.sequence(F.col("ix"), F.col("ix") + F.col("width") - 1), lambda i: F.get("__t", i))
-    return each.where("h is not null").select(*keys, "ix", "h", F.filter(at, lambda t: t.startswith(MARK)).alias("slots")).where(F.size("slots") > 0)
+def _readings(table: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, width, ix, plain (the hash of the plain reading), named (whether this row is
+    the other one), h and slots (type and value) for every window."""
+    def token(i: Column, named: bool) -> Column:
+        t = F.get("__t", i)
+        return F.when(F.get("__q", i) == 1, F.concat(F.lit(NAME), t)).otherwise(t) if named else t
+
+    def window(width: Column, plain: Column, h: Column, i: Column, named: bool) -> Column:
+        # not slice(), which copies the whole array each time
+        at = F.transform(F.sequence(i, i + width - 1), lambda j: token(j, named))
+        slots = F.when(h.isNotNull(), F.filter(at, lambda t: t.startswith(MARK)))
+        return F.struct(width.alias("width"), i.alias("ix"), plain.alias("plain"), F.lit(named).alias("named"), h.alias("h"), slots.alias("slots"))
+
+    # windows are made in the array, so that the rows do not carry the whole text along
+    made = F.flatten(F.transform("__h", lambda x: F.concat(
+        F.transform(x["hashes"], lambda h, i: window(x["width"], h, h, i, False)),
+        F.transform(x["others"], lambda h, i: window(x["width"], F.get(x["hashes"], i), h, i, True)),
+    )))
+    each = table.select(*keys, F.filter(made, lambda w: w["h"].isNotNull()).alias("made"))
+    return each.select(*keys, F.explode_outer("made").alias("w")).where("w.h is not null").select(*keys, "w.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -107,40 +149,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     short = sorted(r[0] for r in items.where(f"__n between 1 and {width - 1}").select("__n").distinct().collect())  # fewer than `width` rows
     widths = [width, *short]
     cut = materialize(windows(benchmark.select("item_id", "text"), widths).withColumn("__n", F.size("__t")))
-    held = cut.select("item_id", "__n", F.explode_outer("__h").alias("hs")).where(f"hs.width = least(__n, {width})")
-    wanted = materialize(held.select("item_id", F.explode_outer("hs.hashes").alias("h")).where("h is not null").distinct())
+    held = _readings(cut, ["item_id", "__n"]).where(f"width = least(__n, {width})")
+    wanted = materialize(held.select("item_id", "plain", "h").distinct())
     hint = F.broadcast if wanted.count() <= broadcast_rows else (lambda t: t)
 
     keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("__row"))
-    every = F.array_distinct(F.flatten(F.transform("__h", lambda x: x["hashes"])))
+    every = F.array_distinct(F.flatten(F.transform("__h", lambda x: F.concat(x["hashes"], x["others"]))))
     # outer: else a filter on the array's size is pushed down and computes it inside itself
     found = windows(keyed, widths).select("doc_id", "__row", F.explode_outer(every).alias("h"))
-    matched = found.where("h is not null").join(hint(wanted), "h").groupBy("__row", "doc_id", "item_id").agg(F.countDistinct("h").alias("n_matched"))
-    totals = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    matched = found.where("h is not null").join(hint(wanted), "h").groupBy("__row", "doc_id", "item_id").agg(F.countDistinct("plain").alias("n_matched"))
+    totals = wanted.groupBy("item_id").agg(F.countDistinct("plain").alias("n_windows"))
     near = materialize(matched.join(totals, "item_id").where(F.col("n_matched") >= share * F.col("n_windows")))
 
     asked = near.select("__row", "item_id")
     texts = keyed.join(asked.select("__row").distinct(), "__row", "left_semi").dropDuplicates(["__row"])
-    ours = _slots(windows(texts, widths), ["__row"]).join(asked, "__row")
-    theirs = _slots(cut, ["item_id"]).select("item_id", "h", F.col("ix").alias("at"), F.col("slots").alias("wanted"))
+    ours = _readings(windows(texts, widths), ["__row"]).join(asked, "__row").select("__row", "item_id", "h", "named", "slots")
+    theirs = _readings(cut, ["item_id", "__n"]).select(
+        "item_id", "h", F.when(F.col("width") == F.least("__n", F.lit(width)), F.col("plain")).alias("counted"), F.col("named").alias("also"), F.col("ix").alias("at"), F.col("slots").alias("wanted")
+    )
+    # way 0: plain readings only; 1: both
+    ways = F.when(F.col("named") | F.col("also"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    met = materialize(ours.join(hint(theirs), ["item_id", "h"]).select("__row", "item_id", "at", "counted", "wanted", "slots", F.explode(ways).alias("way")).distinct())
+    each = ["__row", "item_id", "way"]
+    counted = met.groupBy(*each).agg(F.countDistinct("counted").alias("n_matched"))
     bound = (
-        ours.join(theirs, ["item_id", "h"])
-        .select("__row", "item_id", "at", F.explode(F.arrays_zip("wanted", "slots")).alias("z"))
-        .select("__row", "item_id", "at", F.col("z.wanted").alias("slot"), F.col("z.slots").alias("value"))
+        met.select(*each, "at", F.explode(F.arrays_zip("wanted", "slots")).alias("z"))
+        .select(*each, "at", F.col("z.wanted").alias("slot"), F.col("z.slots").alias("value"))
         .distinct()
     )
-    where = ["__row", "item_id", "slot"]
+    where = [*each, "slot"]
     best = bound.groupBy(*where, "value").count().groupBy(*where).agg(F.max("count").alias("best"))
     every_at = bound.select(*where, "at").distinct().groupBy(*where).agg(F.count(F.lit(1)).alias("all"))
-    steady = best.join(every_at, where).groupBy("__row", "item_id").agg(
+    steady = best.join(every_at, where).groupBy(*each).agg(
         F.count(F.lit(1)).alias("n_slots"), F.count(F.when(F.col("best") == F.col("all"), 1)).alias("n_consistent")
     )
     zero = F.lit(0).cast("long")
-    return (
-        near.join(steady, ["__row", "item_id"], "left")
+    found = (
+        near.drop("n_matched").join(counted, ["__row", "item_id"]).join(steady, each, "left")
         .withColumns({"n_slots": F.coalesce("n_slots", zero), "n_consistent": F.coalesce("n_consistent", zero)})
-        .where(F.col("n_consistent") >= share * F.col("n_slots"))
-        .select("doc_id", "item_id", "n_matched", "n_windows", "n_slots", "n_consistent", "__row")
+        .where((F.col("n_matched") >= share * F.col("n_windows")) & (F.col("n_consistent") >= share * F.col("n_slots")))
+    )
+    figures = F.struct("way", "n_matched", "n_windows", "n_slots", "n_consistent")
+    return found.groupBy("doc_id", "item_id", "__row").agg(F.min(figures).alias("f")).select(
+        "doc_id", "item_id", "f.n_matched", "f.n_windows", "f.n_slots", "f.n_consistent", "__row"
     )
 
 

@@ -255,6 +255,17 @@ def test_canonical(spark):
     assert [t[2:] for t in row["__t"] if t[0] == "\x01"] == ["anna", "3.5", "km", "7", "miles", "20", "percent", "paris"]
 
 
+def test_names_that_begin_sentences(spark):
+    items = ["A shop sells 12 red apples to Anna for lunch. Bob buys 5 more green pears there. How many pieces of fruit did the shop sell to them?"]
+    leaked = "A shop sells 31 red apples to Dora for lunch. Carl buys 8 more green pears there. How many pieces of fruit did the shop sell to them?"
+    twice = "Note: a shop sells 31 red apples to Dora for lunch. Then Carl buys 8 more green pears there. How many pieces of fruit did the shop sell to them?"
+    other = "A shop sells 31 red apples to Dora for lunch. Nobody eats so much bread at home. How many loaves of bread did the bakery bring to them?"
+    docs = table(spark, [leaked, items[0], twice, other])
+    got = {r["doc_id"]: r for r in decontam.leaks(docs, bench(spark, items)).collect()}
+    assert set(got) == {0, 1, 2}
+    assert got[0]["n_matched"] == got[0]["n_windows"] and got[0]["n_consistent"] == got[0]["n_slots"]
+
+
 def brute_chunks(text, window=2, divisor=3):
     lines = text.split("\n")
     g = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) % linededup.PRIME for x in lines]
