@@ -7,9 +7,9 @@ terms are lines in L[i] with falling slopes, so a lower hull of lines answers ea
 layer in one sweep.  Batches are runs of `budget // bucket length` documents in the
 order of doc_id inside a bucket.
 
-Lengths up to `exact` are bins of their own; longer ones share 1,024 bins per
-doubling, whose upper edge stands for them, so the histogram has a fixed bound
-(`exact` + 1,024 * 47 rows) at any corpus size.
+Every length is a row of the histogram.  k distinct lengths take at least k * k / 2
+words, so it has at most the square root of twice the corpus's words: 100,000 rows for
+five thousand million words.
 
 Cases: null and empty texts have length 0 and go to the first bucket; a document
 longer than the budget makes a batch of its own; equal rows are interchangeable; an
@@ -83,12 +83,12 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384, length: Colum
     (such as token counts) can take its place."""
     length = F.size(words_of(text_of())) if length is None else length
     sized = docs.select("doc_id", length.cast("long").alias("length"))
-    sized = materialize(sized.withColumn("__bin", bin_of(F.col("length"))))
-    histogram = sorted((r["__bin"], r["n"]) for r in sized.groupBy("__bin").agg(F.count(F.lit(1)).alias("n")).collect())
+    sized = materialize(sized)
+    histogram = sorted((r["length"], r["n"]) for r in sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
     bounds = best_bounds([b for b, _ in histogram], [n for _, n in histogram], buckets)
     bucket, upper = F.lit(0), F.lit(bounds[-1] if bounds else 0)
     for k in range(len(bounds) - 1, -1, -1):
-        inside = F.col("__bin") <= bounds[k]
+        inside = F.col("length") <= bounds[k]
         bucket = F.when(inside, F.lit(k)).otherwise(bucket)
         upper = F.when(inside, F.lit(bounds[k])).otherwise(upper)
     sized = sized.withColumns({"bucket": bucket, "bucket_length": upper.cast("long")})

@@ -87,6 +87,13 @@ def test_bins(spark):
     assert rows.where("b < id or (id <= 1000 and b != id) or b > id * 1.002 + 1").count() == 0
 
 
+def test_packing_of_very_long_texts(spark):
+    lengths = [70_001, 70_010, 90_001, 90_002]
+    got = {r["length"]: r for r in packing.pack(table(spark, ["w " * n for n in lengths]), buckets=3).collect()}
+    assert [got[n]["bucket_length"] for n in lengths] == [70_001, 70_010, 90_002, 90_002]
+    assert [got[n]["padding"] for n in lengths] == [0, 0, 1, 0]
+
+
 def test_tokens(spark):
     spm, P = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
     path = P.path("piece_bpe_32k.model")
