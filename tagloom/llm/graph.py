@@ -16,7 +16,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """node and root (the smallest node it reaches) for every node of links(a, b).
 
     Every round points nodes at the smallest neighbour, first from above, then from
-    below, until nothing changes: a few rounds for a chain of any length, since paths
+    below, until nothing changes (an error if `rounds` are not enough): a few rounds for a chain of any length, since paths
     halve.  Neighbourhoods are never gathered: minima are pre-aggregated and joined
     back, so a node with very many links spreads over tasks.  Each round's table is
     checkpointed, which also cuts its lineage."""
@@ -37,6 +37,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components: links still change after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -372,6 +372,13 @@ def test_simhash(spark):
     assert simhash.near_groups(table(spark, [])).count() == 0
 
 
+def test_components_says_when_rounds_run_out(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    assert {r["root"] for r in simhash.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(chain, rounds=1)
+
+
 @pytest.mark.parametrize("spread", [2, 5, 9])
 def test_bk_trees(spark, spread):
     """Dense and chained clusters: every component, without every pair."""
