@@ -4,14 +4,19 @@ A text becomes one sequence of symbols: a marker for the text's start and for ev
 space, and the characters as they are.  No piece of the model has the marker after
 another character, so merges never cross the start of a run of markers and the text
 falls into pre-tokens there.  The distinct pre-tokens of a batch lie end to end in
-one numpy array of symbol numbers.  Each round looks up the rank of every adjacent
-pair, takes each pre-token's lowest rank, merges all its occurrences at once, and
-goes on with the pre-tokens that still have a pair.  Symbols that survive count 1 if
-they are pieces, else one for each UTF-8 byte.
+one numpy array of symbol numbers, beside the rank of every adjacent pair.  Each round
+takes each pre-token's lowest rank, merges all its occurrences at once, looks up the
+pairs next to them, and goes on with the pre-tokens that still have a pair.  Symbols
+that survive count 1 if they are pieces, else one for each UTF-8 byte.
 
-Merging all occurrences of a pair at once equals merging them one by one unless the
-new piece is part of one that ranks no later, or the rank has several pairs; for such
-ranks (`Merges.careful`) a round merges only the leftmost one.
+Long pre-tokens (unspaced text) would take a round for every rank in them.  A piece has
+at most `reach` characters, so what is merged at some place can only meet pairs within
+`reach` symbols of it: there, every pair merges whose rank is the lowest within that
+distance.  Symbols farther than that from any pair are counted and leave the array.
+
+Merging all occurrences of a pair at once equals merging them one by one unless one of
+them makes a pair that ranks no later.  Of equal ranks within reach of each other, a
+round takes those from the left up to the first that makes such a pair.
 
 Cases: null and empty texts count 0 tokens; texts are whole whatever their length;
 strings that look like special tokens are ordinary text; equal texts, equal counts;
@@ -34,6 +39,8 @@ from tagloom.llm.common import text_of
 MARK = "▁"
 #: Pre-tokens start where a run of markers starts.
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Characters beyond which a pre-token's pairs are compared within reach only.
+LONG = 64
 
 
 class Merges:
@@ -55,6 +62,7 @@ class Merges:
         # equal scores share a rank: the leftmost of them merges first
         rank = {s: i for i, s in enumerate(sorted({score[p] for p in longer}, reverse=True))}
         self.NONE = len(rank)
+        self.reach = max(map(len, longer), default=1)
         of = [rank[score[p]] for p in longer]
         self.careful = np.bincount(np.array(of, np.int64), minlength=self.NONE) > 1
         rows = []
@@ -100,53 +108,126 @@ class Merges:
     def count(self, tokens: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         n = len(tokens)
-        if not n:
-            return np.zeros(0, np.int64)
-        points = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = np.zeros(n, np.int64)
         lengths = np.fromiter(map(len, tokens), np.int64, n)
-        symbols = self.code[points].astype(np.int64)
+        for long in (False, True):
+            own = np.flatnonzero((lengths > LONG) == long)
+            if len(own):
+                # long pre-tokens stand so far apart that none reaches the next
+                between = "\0" * (self.reach + 1) if long else ""
+                points = np.frombuffer(between.join([tokens[i] for i in own]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                owner = np.repeat(np.arange(len(own)), lengths[own] + (len(between) if long else 0))[: len(points)]
+                apart = np.zeros(len(points), bool)
+                if long:
+                    starts = np.cumsum(lengths[own] + len(between)) - len(between)
+                    for start in starts[:-1].tolist():
+                        apart[start : start + len(between)] = True
+                out[own] = self._count(points, owner, apart, len(own), long)
+        return out
+
+    def _count(self, points: np.ndarray, owner: np.ndarray, apart: np.ndarray, n: int, long: bool) -> np.ndarray:
+        symbols = np.where(apart, 0, self.code[points]).astype(np.int64)
         nbytes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
-        owner = np.repeat(np.arange(n), lengths)
         # a symbol that is no piece can't come from a merge, so its bytes are its character's
-        weight = np.where(self.known[symbols], 1, nbytes)
+        weight = np.where(apart, 0, np.where(self.known[symbols], 1, nbytes))
         out = np.zeros(n, np.int64)
+        rank = np.full(len(symbols), self.NONE, np.int64)  # of the pair that begins there
+        joined = np.zeros(len(symbols), np.int64)
+        self._look(np.arange(len(symbols) - 1), symbols, owner, rank, joined)
         while len(symbols):
-            at, rank, joined = self._pairs(symbols, owner)
-            keep = np.ones(len(symbols), bool)
-            active = np.zeros(n, bool)
-            if len(at):
-                mine = owner[at]
-                first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-                low = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(at)]))
-                take = rank == low
-                at, joined = self._apart(at[take], joined[take], mine[take], low[take])
-                symbols[at] = joined
-                weight[at] = 1
-                keep[at + 1] = False
-                active[mine[first]] = True
-            done = ~active[owner]
-            keep &= ~done
-            out += np.bincount(owner[done], weight[done], n).astype(np.int64)
-            symbols, owner, weight = symbols[keep], owner[keep], weight[keep]
+            if long:
+                near = _least(rank, self.reach)
+                low, live = near == rank, near < self.NONE
+                low &= live
+            else:
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                near = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(owner)]))
+                live = near < self.NONE
+                low = (rank == near) & live
+            at = self._apart(low, symbols, owner, rank, joined, self.reach if long else None)
+            symbols[at] = joined[at]
+            weight[at] = 1
+            live[at + 1] = False
+            gone = ~live
+            gone[at + 1] = False  # merged away, not counted
+            out += np.bincount(owner[gone], weight[gone], n).astype(np.int64)
+            place = np.cumsum(live) - 1
+            at, size = place[at], int(place[-1]) + 1
+            symbols, owner, weight, rank, joined = symbols[live], owner[live], weight[live], rank[live], joined[live]
+            if size:
+                changed = np.unique(np.r_[at, at[at > 0] - 1])
+                rank[changed] = self.NONE
+                self._look(changed[changed + 1 < size], symbols, owner, rank, joined)
         return out
 
-    def _pairs(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        near = np.flatnonzero(owner[1:] == owner[:-1])
-        if not len(near) or not len(self.keys):
-            return near[:0], near[:0], near[:0]
-        key = symbols[near] << 20 | symbols[near + 1]
-        slot = self._find(key)
-        hit = np.flatnonzero(slot >= 0)
-        slot = slot[hit]
-        return near[hit], self.ranks[slot], self.joined[slot]
-
-    def _apart(self, at: np.ndarray, joined: np.ndarray, owner: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs that merge in this round: from the left, none overlapping."""
-        start = np.r_[True, at[1:] != at[:-1] + 1] | np.r_[True, owner[1:] != owner[:-1]]  # runs of overlapping pairs
+    def _look(self, at: np.ndarray, symbols: np.ndarray, owner: np.ndarray, rank: np.ndarray, joined: np.ndarray) -> None:
+        """Fills in rank and joined for the pairs that begin at these places."""
+        at = at[owner[at] == owner[at + 1]] if len(at) else at
+        if not len(at) or not len(self.keys):
+            return
+        slot = self._find(symbols[at] << 20 | symbols[at + 1])
+        hit = slot >= 0
+        rank[at[hit]], joined[at[hit]] = self.ranks[slot[hit]], self.joined[slot[hit]]
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        slot = self._find(left << 20 | right)
+        return np.where(slot >= 0, self.ranks[slot], self.NONE) if len(self.keys) else np.full(len(left), self.NONE)
+
+    def _apart(self, low: np.ndarray, symbols: np.ndarray, owner: np.ndarray, rank: np.ndarray, joined: np.ndarray, reach: int | None) -> np.ndarray:
+        """Of places of lowest pairs, those that merge in this round: from the left,
+        none overlapping, and, of equal ranks within reach (None: in one pre-token),
+        none after one that makes a pair of the same rank or a lower one."""
+        at = np.flatnonzero(low)
+        if not len(at):
+            return at
+
+        def waits(at: np.ndarray, back: int) -> np.ndarray:
+            """Whether a pair of the same rank, `back` places to the left, has yet to wait
+            for lower ones."""
+            there = np.maximum(at - back, 0)
+            return (at >= back) & (owner[there] == owner[at]) & (rank[there] == rank[at]) & ~low[there]
+
+        differ = (owner[at[1:]] != owner[at[:-1]]) | (rank[at[1:]] != rank[at[:-1]])
+        start = np.r_[True, (at[1:] != at[:-1] + 1) | differ]  # runs of overlapping pairs
         begin = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - begin) % 2 == 0
-        take &= ~self.careful[rank] | np.r_[True, owner[1:] != owner[:-1]]
-        return at[take], joined[take]
+        at = at[((np.arange(len(at)) - begin) % 2 == 0) & ~waits(at, 1)[begin]]
+        careful = self.careful[rank[at]]
+        if not careful.any():
+            return at
+        blocked = np.zeros(len(at), bool)
+        if reach is not None:
+            some = np.flatnonzero(careful)
+            for back in range(1, reach + 1):
+                blocked[some] |= waits(at[some], back)
+        # what each would stand next to, if those before it in the round have merged
+        end = len(symbols)
+        left = np.where(at > 0, symbols[at - 1], 0)
+        touching = np.r_[False, at[1:] == at[:-1] + 2]
+        left[touching] = joined[at[:-1]][touching[1:]]
+        left[(at == 0) | (owner[np.maximum(at - 1, 0)] != owner[at])] = 0
+        right = np.where(at + 2 < end, symbols[np.minimum(at + 2, end - 1)], 0)
+        right[(at + 2 >= end) | (owner[np.minimum(at + 2, end - 1)] != owner[at])] = 0
+        new = joined[at]
+        bad = careful & (np.minimum(self._rank_of(left, new), self._rank_of(new, right)) <= rank[at]) | blocked
+        if not bad.any():
+            return at
+        cut = np.r_[True, owner[at[1:]] != owner[at[:-1]]]
+        if reach is not None:
+            cut |= np.r_[True, at[1:] - at[:-1] > reach]
+        group = np.cumsum(cut) - 1
+        before = np.cumsum(bad) - bad  # bad ones to the left, in all groups
+        return at[(before == before[cut][group]) & ~blocked]
+
+
+def _least(x: np.ndarray, reach: int) -> np.ndarray:
+    """The least of the values at most `reach` places away."""
+    wide = 2 * reach + 1
+    padded = np.full(-(-(len(x) + 2 * reach) // wide) * wide, np.iinfo(np.int64).max)
+    padded[reach : reach + len(x)] = x
+    blocks = padded.reshape(-1, wide)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: len(x)], ahead[wide - 1 : wide - 1 + len(x)])
 
 
 @lru_cache(maxsize=2)

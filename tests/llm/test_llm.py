@@ -108,6 +108,25 @@ def test_tokens(spark):
     assert tokens.token_counts(table(spark, []), path).count() == 0
 
 
+def test_tokens_of_unspaced_texts():
+    """Long pre-tokens: random, periodic and mixed, by the library's counts and time."""
+    import string
+    import time
+
+    spm, P = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
+    path = P.path("piece_bpe_32k.model")
+    library, merges, rng = spm.SentencePieceProcessor(model_file=path), tokens.load(path), random.Random(41)
+    pick = lambda signs, n: "".join(rng.choices(signs, k=n))
+    kinds = ["ab", "etaoinshrdlu", "-=*_#.", string.ascii_lowercase, string.ascii_letters + string.digits]
+    texts = [pick(rng.choice(kinds), rng.randrange(50, 400)) for _ in range(1500)] + [pick(rng.choice(kinds), rng.randrange(1, 7)) * rng.randrange(9, 200) for _ in range(1000)]
+    assert tokens.count_tokens(texts, merges).tolist() == [len(x) for x in library.encode(texts)]
+    for text in [pick(string.ascii_lowercase, 1_000_000), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300_000)), "a" * 500_000 + "ab" * 200_000 + "=" * 99_999]:
+        began = time.time()
+        n = tokens.count_tokens([text], merges)[0]
+        ours, began = time.time() - began, time.time()
+        assert n == len(library.encode(text)) and ours < 20 * (time.time() - began) + 1
+
+
 def brute_cover(rows, n):
     seen, out = set(), []
     for _, text in sorted(rows, key=lambda r: r[0]):
