@@ -6,7 +6,9 @@ equal anchors in equal places, and neighbouring windows share an anchor.  The st
 
 1. Anchors are found with rolling hashes; their hashes are exchanged, packed, and those
    that occur once are dropped: no window around them can repeat.  (Distinguishing
-   prefixes are approximated alike in distributed string sorting.)
+   prefixes are approximated alike in distributed string sorting.)  K-grams that a
+   sample of documents shows to be frequent are anchors only where a window has no
+   other, so a line that stands everywhere does not gather its neighbourhoods.
 2. The remaining anchors' suffixes are cut from their texts.  Each task sorts its own,
    keeps one of those equal in their whole surroundings (the others repeat it and are
    reported at once), and sends the rest as front-coded runs: each suffix as the length
@@ -27,7 +29,8 @@ Cases: a null text is empty; texts shorter than a window lose nothing; very long
 are cut into overlapping pieces, so a task's arrays stay small; rows equal in doc_id
 and text are one document and each get its result; a null id comes first; rows that
 share an id but not a text are ordered by a hash; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored; ids must be integers, and strings have 255 bytes at most (an
+error otherwise).
 """
 
 from __future__ import annotations
@@ -40,8 +43,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.llm.common import row_key, text_of
+from tagloom.llm.common import text_of
 
 LENGTH, GRAM, PIECE = 100, 32, 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
@@ -62,8 +66,9 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 64, 256, np.uint64), power(np.uint64(base)), power(np.uint64(inverse))
 
 
-def find_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """text number, place, near, far and hash of the anchors of all windows."""
+def find_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """text number, place, near, far and hash of the anchors of all windows.  frequent:
+    ascending hashes of k-grams that are anchors only where there is no other."""
     parts: list[tuple[int, int, bytes]] = []
     out: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -71,7 +76,7 @@ def find_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     def flush() -> None:
         nonlocal size
         if parts:
-            out.append(_anchors(parts, length, gram))
+            out.append(_anchors(parts, length, gram, frequent))
         parts.clear()
         size = 0
 
@@ -88,7 +93,7 @@ def find_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) ->
     return tuple(map(np.concatenate, zip(*out)))
 
 
-def _anchors(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+def _anchors(parts: list[tuple[int, int, bytes]], length: int, gram: int, frequent: np.ndarray | None) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
     sizes = np.array([len(p) for _, _, p in parts], np.int64)
     ends = np.cumsum(sizes)
@@ -101,7 +106,10 @@ def _anchors(parts: list[tuple[int, int, bytes]], length: int, gram: int) -> tup
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(32)
     wide = length - gram + 1
-    key = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+    key = (h >> np.uint64(1) & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+    if frequent is not None and len(frequent):
+        place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        key |= (frequent[place] == h).astype(np.uint64) << np.uint64(63)
     padded = np.full(-(-len(key) // wide) * wide, np.uint64(2**64 - 1))
     padded[: len(key)] = key
     blocks = padded.reshape(-1, wide)
@@ -253,12 +261,14 @@ def repeats(lcp: np.ndarray, back: np.ndarray, info: np.ndarray, length: int) ->
     return hit, low[hit], high[hit]
 
 
-_COVER = pa.schema([("row", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_COVER = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("cover", pa.int64())])
 _RUN = pa.schema([("bucket", pa.int32()), *_COVER, ("run", pa.binary())])
 
 
 def _covers(info: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(info["row"]), pa.array(info["at"] - high), pa.array(info["at"] - low + length)], schema=_COVER)
+    """A cover is a start << 16 | a number of bytes."""
+    cover = info["at"] - high << 16 | high - low + length
+    return pa.RecordBatch.from_arrays([pa.array(info["id"]), pa.array(info["row"]), pa.array(cover)], schema=_COVER)
 
 
 def _encode_run(suffixes: list[tuple[bytes, bytes, np.void]]) -> bytes:
@@ -302,22 +312,41 @@ def _decode_run(blob: bytes) -> tuple[Run, list[bytes], np.ndarray]:
     return Run(shared, rest), cut(backs), info
 
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """row, low, high: bytes of texts (doc_id, row, text) that an earlier equal string
-    of `length` bytes repeats; ranges may overlap."""
+def frequent_grams(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sample: int = 20_000, share: float = 0.002) -> np.ndarray:
+    """Ascending hashes of anchors that stand in more than that share of about `sample`
+    documents.  They only route suffixes; results do not depend on them.  There are at
+    most the sample's anchors times 1 / (share * sample): tens of thousands."""
+    n = docs.count()
+    some = docs.where(F.pmod("row", F.lit(max(1, n // sample))) == 0)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, _, _, _, h = find_anchors(batch.column(0).cast(pa.binary()).to_pylist(), length, gram)
+            once = np.unique(np.stack([which.astype(np.uint64), h]), axis=1)[1] if len(h) else h
+            each, count = np.unique(once, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(count)], ["h", "n"])
+
+    least = max(10, int(share * min(n, sample)))
+    rows = some.select("text").mapInArrow(hashed, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("h").toPandas()
+    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
+
+
+def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: np.ndarray | None = None) -> DataFrame:
+    """id, row, cover: bytes of texts (id, row, text) that an earlier equal string of
+    `length` bytes repeats; ranges may overlap."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     wide = max(1, length - gram)
+    known = spark.sparkContext.broadcast(frequent_grams(docs, length, gram) if frequent is None else frequent)  # see there
 
     def named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        return ids, batch.column("row").to_numpy(zero_copy_only=False), batch.column("text").cast(pa.binary()).to_pylist()
+        return batch.column("id").to_numpy(), batch.column("row").to_numpy(), batch.column("text").cast(pa.binary()).to_pylist()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows, texts = named(batch)
-            which, at, near, far, h = find_anchors(texts, length, gram)
+            which, at, near, far, h = find_anchors(texts, length, gram, known.value)
             found = np.zeros(len(at), ANCHOR)
             found["h"], found["id"], found["row"], found["at"], found["near"], found["far"] = h, ids[which], rows[which], at, near, far
             bucket = (h % np.uint64(buckets)).astype(np.int64)
@@ -337,7 +366,8 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             found = found[np.argsort(found["h"], kind="stable")]
             same = np.r_[False, found["h"][1:] == found["h"][:-1], False]
             found = found[same[1:] | same[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(found["row"]), *[pa.array(found[f].astype(np.int64)) for f in ("at", "near", "far")]], ["row", "at", "near", "far"])
+            spot = found["at"] << 16 | found["near"].astype(np.int64) << 8 | found["far"]
+            yield pa.RecordBatch.from_arrays([pa.array(found["id"]), pa.array(found["row"]), pa.array(spot)], ["id", "row", "spot"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -359,7 +389,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 out.append((bucket, run))
             for at in range(0, len(out), 200):
                 part = out[at : at + 200]
-                none = pa.array([None] * len(part), pa.int64())
+                none = pa.nulls(len(part), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int32()), none, none, none, pa.array([_encode_run(r) for _, r in part], pa.binary())], schema=_RUN)
             info = np.array(again, ANCHOR)
             cover = _covers(info, info["near"].astype(np.int64), info["far"].astype(np.int64), length)
@@ -372,7 +402,8 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             ids, rows, texts = named(batch)
             spots = batch.column("spots")
             offsets = spots.offsets.to_numpy()
-            at, near, far = (spots.values.field(f).to_numpy() for f in ("at", "near", "far"))
+            spot = spots.values.to_numpy()
+            at, near, far = spot >> 16, spot >> 8 & 255, spot & 255
             for k, text in enumerate(texts):
                 doc, row = int(ids[k]), int(rows[k])
                 i, j = offsets[k], offsets[k + 1]
@@ -391,7 +422,7 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         for batch in batches:
             mine = batch.filter(batch.column("run").is_null())
             if len(mine):
-                yield mine.select(["row", "low", "high"])
+                yield mine.select(["id", "row", "cover"])
             mine = batch.filter(batch.column("run").is_valid())
             for bucket, blob in zip(mine.column("bucket").to_pylist(), mine.column("run").to_pylist()):
                 by.setdefault(bucket, []).append(blob)
@@ -421,13 +452,13 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
                 info.append(infos[run][k])
             yield from judged()
 
-    once = docs.select("doc_id", "row", "text")
+    once = docs.select("id", "row", "text")
     hashes = once.where(F.length("text") >= length // 4).mapInArrow(hashed, "bucket int, blob binary")
-    anchors = hashes.repartition(parts, "bucket").mapInArrow(repeated, "row long, at long, near long, far long")
-    spots = anchors.groupBy(F.col("row").alias("spot_row")).agg(F.collect_set(F.struct("at", "near", "far")).alias("spots"))
-    held = once.join(spots, F.col("row") == F.col("spot_row")).select("doc_id", "row", "text", "spots")
-    sent = held.mapInArrow(runs, "bucket int, row long, low long, high long, run binary")
-    return sent.repartition(parts, "bucket").mapInArrow(merge, "row long, low long, high long")
+    anchors = hashes.repartition(parts, "bucket").mapInArrow(repeated, "id long, row long, spot long")
+    spots = anchors.groupBy(F.col("id").alias("spot_id"), F.col("row").alias("spot_row")).agg(F.collect_set("spot").alias("spots"))
+    held = once.join(spots, (F.col("id") == F.col("spot_id")) & (F.col("row") == F.col("spot_row"))).select("id", "row", "text", "spots")
+    sent = held.mapInArrow(runs, "bucket int, id long, row long, cover long, run binary")
+    return sent.repartition(parts, "bucket").mapInArrow(merge, "id long, row long, cover long")
 
 
 def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -441,19 +472,25 @@ def union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, full: bool = True) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, full: bool = True, frequent: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if full also spans (removed
     ranges) and kept (the remaining bytes), for every row of docs."""
-    texts = docs.select("doc_id", row_key("doc_id", "text").alias("row"), text_of().alias("text"))
-    ranges = covered(texts, length, gram).groupBy(F.col("row").alias("cut_row")).agg(F.collect_set(F.struct("low", "high")).alias("cuts"))
-    joined = texts.join(ranges, F.col("row") == F.col("cut_row"), "left").select("doc_id", "row", "text", "cuts")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer: earlier means a smaller one")
+    if not gram <= length <= 255:
+        raise ValueError("strings have 255 bytes at most, and no fewer than a k-gram")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID).cast("long"))
+    texts = docs.select("doc_id", number.alias("id"), F.xxhash64("doc_id", "text").alias("row"), text_of().alias("text"))
+    ranges = covered(texts, length, gram, frequent)
+    ranges = ranges.groupBy(F.col("id").alias("cut_id"), F.col("row").alias("cut_row")).agg(F.collect_set("cover").alias("cuts"))
+    joined = texts.join(ranges, (F.col("id") == F.col("cut_id")) & (F.col("row") == F.col("cut_row")), "left").select("doc_id", "id", "row", "text", "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             spans, kept = [], []
             for text, cuts in zip(texts, batch.column("cuts").to_pylist()):
-                found = union([(c["low"], c["high"]) for c in cuts or ()])
+                found = union([(c >> 16, (c >> 16) + (c & 65535)) for c in cuts or ()])
                 ends = [0, *[x for span in found for x in span], len(text)]
                 spans.append(found)
                 kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])))
