@@ -16,11 +16,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that materialize() wrote and release() has not deleted, by session.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or, where that is
-    unset (a single machine), a temporary folder set once for the session."""
+    """The folder every executor sees: spark.checkpoint.dir.  Where that is unset, a
+    single machine gets a temporary folder, once for the session; a cluster, an error,
+    since no folder of one machine is seen by the others."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tagloom-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -33,9 +40,42 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tagloom/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """The intermediate tables that this application wrote and that still lie there."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, tables: list[str] | None = None) -> None:
+    """Deletes intermediate tables (all if none are named).  Only for those that no
+    result still to be computed reads."""
+    held = _written.get(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for at in written(spark) if tables is None else tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(hadoop).delete(path, True)
+        if at in held:
+            held.remove(at)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_user(docs: DataFrame) -> DataFrame:
+    """user (a struct of docs' columns, whatever their names) and row, the row's key:
+    operators add columns beside user, so none of their names can clash with docs'."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("user"), row_key("doc_id", "text").alias("row"))
+
+
+def of_user(columns: list[str]) -> list[Column]:
+    """docs' columns again, out of user."""
+    return [F.col("user")[c].alias(c) for c in columns]
+
+
 def text_of(column: str = "text") -> Column:
     """The whole text; a null text is the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -46,9 +86,10 @@ def words_of(text: Column) -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """Names a row by its contents, so that rows which share an id but not a text
-    stay apart and rows equal in both share their fate."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+    """Names a row by 128 bits of hashes of its contents, so that rows which share an
+    id but not a text stay apart and rows equal in both share their fate."""
+    own = [F.col(c) for c in columns]
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit("second"), *own).alias("b"))
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], size: str | None = None) -> DataFrame:

@@ -15,7 +15,9 @@ window of the item counts as held if either is.  A document leaks if the plain r
 alone suffice, or both together.
 
 Windows with fewer than three plain words carry too little to match and are left out
-on both sides.  An item shorter than a window is one window of its own length.
+on both sides.  An item shorter than a window is one window of its own length; one
+without any window of three plain words, such as a single word or a row of numbers,
+would match by chance and is not looked for: unmatchable() reports those items.
 
 Benchmark windows are broadcast only while they number at most `broadcast_rows`;
 beyond that the same join shuffles.
@@ -30,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialize, row_key, text_of
+from tagloom.llm.common import materialize, of_user, row_key, text_of, with_user
 
 #: Fixed values.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "v", "usd", "eur", "dollars", "euros", "percent", "inches", "inch", "feet", "ft", "miles", "mile", "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "years", "year", "meters", "metres", "grams", "liters", "litres", "degrees"]
@@ -83,12 +85,15 @@ def signs() -> Column:
 def _hashes(width: int) -> Column:
     """The hash of every window of `width` of __g (token hashes), null if the window
     has too few plain words (__w has 1 for a plain word; null if all are plain)."""
+    if width < 3:
+        return F.array().cast("array<bigint>")
+
     def plain(i: Column) -> Column:
         return F.xxhash64(F.lit(width), *[F.get("__g", i + k) for k in range(width)])
 
     def mixed(i: Column) -> Column:
         words = sum((F.get("__w", i + k) for k in range(1, width)), F.get("__w", i))
-        return F.when(words >= min(3, width), plain(i))
+        return F.when(words >= 3, plain(i))
 
     n = F.size("__g") - width
     at = F.sequence(F.lit(0), F.greatest(n, F.lit(0)))
@@ -103,7 +108,7 @@ def _others(width: int) -> Column:
         total = lambda c: sum((F.get(c, i + k) for k in range(1, width)), F.get(c, i))
         named = F.xxhash64(F.lit(width), *[F.when(F.get("__q", i + k) == 1, F.xxhash64(F.lit(NAME))).otherwise(F.get("__g", i + k)) for k in range(width)])
         words = F.when(F.col("__w").isNull(), F.lit(width)).otherwise(total("__w"))
-        return F.when((total("__q") > 0) & (words - total("__q") >= min(3, width)), named)
+        return F.when((total("__q") > 0) & (words - total("__q") >= 3), named)
 
     n = F.size("__g") - width
     return F.when((n >= 0) & F.col("__q").isNotNull(), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), other)).otherwise(F.array().cast("array<bigint>"))
@@ -143,10 +148,10 @@ def _readings(table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """doc_id, item_id, n_matched, n_windows, n_slots, n_consistent and __row (the
-    document's row key) for every document that leaks an item."""
+    """doc_id, item_id, n_matched, n_windows, n_slots, n_consistent and row_key
+    (the document's) for every document that leaks an item."""
     items = canonical(benchmark.select("item_id", "text")).withColumn("__n", F.size("__t"))
-    short = sorted(r[0] for r in items.where(f"__n between 1 and {width - 1}").select("__n").distinct().collect())  # fewer than `width` rows
+    short = sorted(r[0] for r in items.where(f"__n between 3 and {width - 1}").select("__n").distinct().collect())  # fewer than `width` rows
     widths = [width, *short]
     cut = materialize(windows(benchmark.select("item_id", "text"), widths).withColumn("__n", F.size("__t")))
     held = _readings(cut, ["item_id", "__n"]).where(f"width = least(__n, {width})")
@@ -191,11 +196,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float =
     )
     figures = F.struct("way", "n_matched", "n_windows", "n_slots", "n_consistent")
     return found.groupBy("doc_id", "item_id", "__row").agg(F.min(figures).alias("f")).select(
-        "doc_id", "item_id", "f.n_matched", "f.n_windows", "f.n_slots", "f.n_consistent", "__row"
+        "doc_id", "item_id", "f.n_matched", "f.n_windows", "f.n_slots", "f.n_consistent", F.col("__row").alias("row_key")
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that leak no item."""
-    dirty = materialize(leaks(docs, benchmark, **options).select(F.col("__row").alias("__leak")).distinct())
-    return docs.withColumn("__row", row_key("doc_id", "text")).join(dirty, F.col("__row") == F.col("__leak"), "left_anti").drop("__row")
+    dirty = materialize(leaks(docs, benchmark, **options).select(F.col("row_key").alias("leak")).distinct())
+    return with_user(docs).join(dirty, F.col("row") == F.col("leak"), "left_anti").select(of_user(docs.columns))
+
+
+def unmatchable(benchmark: DataFrame, width: int = 5) -> DataFrame:
+    """item_id of the items that leaks() cannot find: without a window of three plain
+    words, so that any text might hold them by chance."""
+    items = benchmark.select("item_id", "text")
+    cut = windows(items, [width, *range(3, width)]).withColumn("__n", F.size("__t"))
+    held = _readings(cut, ["item_id", "__n"]).where(f"width = least(__n, {width})").select("item_id").distinct()
+    return items.select("item_id").join(held, "item_id", "left_anti")

@@ -46,7 +46,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagloom.llm.decontam import leaks
 
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("__row")
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialize, row_key, text_of
+from tagloom.llm.common import materialize, of_user, text_of, with_user
 from tagloom.llm.graph import components
 
 
@@ -76,11 +76,11 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", of(text_of()).alias("fp"))
 
 
-def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+def tree_links(values: list[int], radius: int, most: int | None = None) -> list[tuple[int, int]] | None:
     """Links that join every two of the distinct values within the radius, through
     others if need be: at most one for each value and component that it meets, to the
-    nearest value met there."""
-    n = len(values)
+    nearest value met there.  None if more than `most` comparisons were needed."""
+    n, left = len(values), most or 1 << 62
     above = list(range(n))
 
     def top(x: int) -> int:
@@ -98,12 +98,15 @@ def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
             node, home = todo.pop()
             if home >= 0 and top(home) in near:
                 continue
+            left -= 1
             d = (v ^ values[node]).bit_count()
             if d <= radius:
                 near[top(node)] = min(near.get(top(node), (65, 0)), (d, node))
             for edge, child in children[node].items():
                 if d - radius <= edge <= d + radius:
                     todo.append((child, node if edge <= radius else home))
+        if left < 0:
+            return None
         for root, (_, node) in near.items():
             above[max(root, top(x))] = min(root, top(x))
             out.append((v, values[node]))
@@ -117,53 +120,96 @@ def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def shard_keys(fp: Column, blocks: int, radius: int) -> Column:
-    """A key for each choice of blocks: its number and the bits there."""
+def blocks_for(n: int, radius: int, size: int = 64) -> int:
+    """So many blocks that shards of n even fingerprints hold about `size` at most."""
+    blocks = radius + 2
+    while n >> (64 * (blocks - radius) // blocks) > size:
+        blocks += 1
+    return blocks
+
+
+def shard_keys(key: Column, fp: Column, blocks: int, radius: int) -> Column:
+    """A key for each choice of blocks: the key so far, its number and the bits there."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
     keys = []
     for i, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(((1 << edges[b + 1]) - (1 << edges[b])) for b in chosen)
         mask -= (mask >> 63) << 64
-        keys.append(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(mask).cast("long"))))
+        keys.append(F.xxhash64(key, F.lit(i), fp.bitwiseAND(F.lit(mask).cast("long"))))
     return F.array(*keys)
 
 
-def near_links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, blocks: int | None = None, most: int = 4_000_000, largest: int = 200_000, last: int = 12) -> DataFrame:
     """Links a, b between the distinct values of fps.fp, enough to join all that lie
-    within the radius.  More blocks make smaller shards and more copies of each row."""
-    return shard_links(fps, shard_keys(F.col("fp"), radius + 2 if blocks is None else blocks, radius), radius)
-
-
-def shard_links(fps: DataFrame, keys: Column, radius: int) -> DataFrame:
-    """The links that the BK-trees of the shards named by keys find."""
+    within the radius.
+
+    There are so many blocks that shards do not grow with the corpus.  A shard that
+    holds more than `largest` values all the same, or whose tree takes more than `most`
+    comparisons, is dealt anew by more blocks, which makes it smaller and loses no link
+    either; only with `last` blocks is every shard searched to the end."""
+    blocks = blocks_for(fps.count(), radius) if blocks is None else blocks
+    keyed, links = fps.select(F.lit(0).cast("long").alias("key"), "fp"), None
+    while True:
+        final = blocks >= last
+        found = materialize(_search(keyed, radius, blocks, None if final else most, None if final else largest))
+        own = found.where("a is not null").select("a", "b")
+        links = own if links is None else links.unionByName(own)
+        rest = found.where("fp is not null").select("key", "fp")
+        if final or rest.isEmpty():
+            return links
+        keyed, blocks = rest, blocks + 2
+
+
+def _search(keyed: DataFrame, radius: int, blocks: int, most: int | None, largest: int | None) -> DataFrame:
+    """a, b: the links that the BK-trees of all shards find; key, fp: the values of
+    shards that were left."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, [], []
-
-        def close() -> None:
-            if len(group) > 1:
-                out.extend(tree_links([v & 0xFFFFFFFFFFFFFFFF for v in sorted(set(group))], radius))
+        key, group, over = None, [], False
+        out: list[tuple[int, int]] = []
+        names = ["a", "b", "key", "fp"]
+
+        def left(values: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(values), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(values), key, np.int64)), pa.array(values)], names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(group) < 2 or over:
+                return
+            values = sorted(set(group))
+            found = tree_links([v & 0xFFFFFFFFFFFFFFFF for v in values], radius, most)
+            if found is None:
+                yield left(np.array(values, np.int64))
+            else:
+                out.extend(found)
 
         def flush() -> pa.RecordBatch:
             rows = np.array(out, np.uint64).reshape(-1, 2).astype(np.int64)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), none, none], names)
 
         for batch in batches:
             keys, values = (batch.column(i).to_numpy() for i in (0, 1))
             cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
             for i, j in zip(cuts, [*cuts[1:], len(keys)]):
                 if keys[i] != key:
-                    close()
-                    key, group = keys[i], []
+                    yield from close()
+                    key, group, over = keys[i], [], False
+                if over:
+                    yield left(values[i:j])
+                    continue
                 group.extend(values[i:j].tolist())
+                if largest and len(group) > largest:
+                    yield left(np.array(group, np.int64))
+                    group, over = [], True
             if len(out) >= 10_000:
                 yield flush()
-        close()
+        yield from close()
         yield flush()
 
-    dealt = fps.select(F.explode(keys).alias("key"), "fp")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+    dealt = keyed.select(F.explode(shard_keys(F.col("key"), F.col("fp"), blocks, radius)).alias("key"), "fp")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, key long, fp long")
 
 
 def _components(each: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
@@ -353,8 +399,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     shingle with, and what is verified is joined, so that a dense group costs few of
     its pairs.  Then every candidate across the groups so found is verified, too: a
     pair is passed over only if verified links join it already."""
-    keyed = docs.withColumn("__row", row_key("doc_id", "text"))
-    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("doc_id"), "text")
+    keyed = with_user(docs)
+    doc_id, text = F.col("user.doc_id"), F.col("user.text")
+    named = keyed.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "row").alias("doc_id"), text.alias("text"))
     each = materialize(prefixes(named, width, similarity))
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     distinct = materialize(distinct)
@@ -362,8 +409,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
 
     def holding(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        ends = ends.join(firsts, "fp").select("fp", F.col("first.__row").alias("__end"))
-        texts = keyed.select("__row", text_of().alias("text")).join(ends, F.col("__row") == F.col("__end")).dropDuplicates(["fp"])
+        ends = ends.join(firsts, "fp").select("fp", F.col("first.row").alias("end"))
+        texts = keyed.select("row", F.coalesce(text, F.lit("")).alias("text")).join(ends, F.col("row") == F.col("end")).dropDuplicates(["fp"])
         return materialize(verified(pairs, texts, width, similarity))
 
     shared = materialize(shared_tokens(distinct, similarity))
@@ -374,5 +421,5 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
     rest = materialize(cross_pairs(rooted, similarity).join(near, ["a", "b"], "left_anti"))
     groups = _components(each, firsts, links.unionByName(holding(rest)))
-    kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.__row").alias("__kept")).distinct())
-    return keyed.join(kept, F.col("__row") == F.col("__kept"), "left_semi").dropDuplicates(["__row"]).drop("__row")
+    kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.row").alias("kept")).distinct())
+    return keyed.join(kept, F.col("row") == F.col("kept"), "left_semi").dropDuplicates(["row"]).select(of_user(docs.columns))

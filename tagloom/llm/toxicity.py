@@ -150,9 +150,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_00
     """train: a condition on doc_id that labelled rows must meet to be learned from.
     An entry is held by `least` toxic texts or more, and by a `ratio` times larger
     share of toxic texts than of others."""
-    known = labels.where(train & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
+    known = labels.select("doc_id", "toxic").where(train & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = materialize(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", text_of().alias("text"), "__toxic"))
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", text_of().alias("text"), "__toxic"))
     sizes = {r["__toxic"]: r["n"] for r in rows.groupBy("__toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -185,8 +185,10 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 20_00
     return found
 
 
-def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs with __score."""
+def scored(docs: DataFrame, lexicon: Lexicon, name: str = "__score") -> DataFrame:
+    """docs with a column of that name, which they must not have."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs have a column {name}; give another name")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most `entries` patterns
 
     @F.pandas_udf("double")
@@ -194,7 +196,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for texts in batches:
             yield texts.map(shared.value.score).astype("float64")
 
-    return docs.withColumn("__score", score(text_of()))
+    return docs.withColumn(name, score(text_of()))
 
 
 def fold_of(column: str = "doc_id", folds: int = 5) -> Column:

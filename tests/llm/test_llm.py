@@ -183,6 +183,28 @@ def test_suffix_dedup_edges(spark):
     assert got[0]["n_removed"] == 0 and got[1]["n_removed"] == len(long) // 2
 
 
+@pytest.mark.parametrize("known", [False, True])
+def test_suffix_dedup_of_a_line_that_stands_everywhere(spark, known):
+    """A short line in every document, a long one in most, other surroundings."""
+    rng = random.Random(42)
+    line, passage = "All rights reserved, 2019 to 2024, by us", words(rng, 60)
+    texts = [words(rng, 30, 10**6) + line + words(rng, 30, 10**6) + (passage if i % 3 else "") + words(rng, 9) for i in range(90)]
+    frequent = suffix.find_anchors([t.encode() for t in texts])[4]
+    values, counts = suffix.np.unique(frequent, return_counts=True)
+    frequent = values[counts > 9] if known else None
+    assert not known or len(frequent) > 3
+    got = {r["doc_id"]: r["n_removed"] for r in suffix.dedup_suffixes(table(spark, texts), frequent=frequent).collect()}
+    assert got == {i: sum(cut) for i, cut in enumerate(brute_cover(list(enumerate(texts)), 100))}
+    assert len(suffix.frequent_grams(spark.createDataFrame(list(enumerate(texts)), "row long, text string"))) > 3
+
+
+def test_suffix_dedup_says_what_it_cannot_do(spark):
+    with pytest.raises(TypeError):
+        suffix.dedup_suffixes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(ValueError):
+        suffix.dedup_suffixes(table(spark, ["a"]), length=300)
+
+
 def test_pieces_of_long_texts(monkeypatch):
     rng = random.Random(10)
     text = words(rng, 900).encode()
@@ -274,6 +296,13 @@ def test_decontamination(spark):
     assert decontam.leaks(docs, bench(spark, [])).count() == 0
 
 
+def test_items_that_say_too_little(spark):
+    items = ["yes", "Paris", "1 2 3 4 5 6 7", "a short answer", "Where do the brown bears sleep in winter?", None]
+    docs = table(spark, ["He said yes and then left for Paris.", "1 2 3 4 5 6 7", "that was a short answer.", "where do the BROWN bears sleep in winter"])
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, bench(spark, items)).collect()} == {(2, 3), (3, 4)}
+    assert {r["item_id"] for r in decontam.unmatchable(bench(spark, items)).collect()} == {0, 1, 2, 5}
+
+
 def test_canonical(spark):
     docs = table(spark, ["The cat saw Anna. She ran 3.5 km, then 7 miles at 20%! NOT Paris"])
     row = decontam.canonical(docs).select("__t", decontam.signs().alias("c")).first()
@@ -341,6 +370,36 @@ def test_line_dedup(spark, weak):
     assert linededup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_clashing_names(spark, tmp_path):
+    """Columns named like the operators' own, or oddly, come back as they were."""
+    names = ["__row", "__all", "__drop", "__lines", "__marks", "__chunks", "user", "row", "drop", "kept", "cut", "a`b", "a.b", "__toxic", "__id", "__score", "__end"]
+    text = "\n".join(words(random.Random(8), 5) for _ in range(12))
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([text, text, "other", None])]
+    quoted = ", ".join(f"{common.quoted(n)} string" for n in names)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {quoted}")
+    marks = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, marks, F.lit(True))
+    with pytest.raises(ValueError):
+        toxicity.scored(docs, lexicon)
+    for got, ids in [
+        (linededup.dedup_lines(docs), {0, 1, 2, 3}), (simhash.keep_one(docs), {0, 2, 3}), (decontam.decontaminate(docs, bench(spark, ["nothing of the kind here"])), {0, 1, 2, 3}),
+        (toxicity.scored(docs, lexicon, "score").drop("score"), {0, 1, 2, 3}),
+    ]:
+        assert got.columns == docs.columns
+        found = {r[0]: r for r in got.collect()}
+        assert set(found) == ids and all(tuple(found[i][2:]) == rows[i][2:] for i in ids)
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    import time
+
+    text = "\n".join(f"line {i}" for i in range(200_000))
+    began = time.time()
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(table(spark, [text, text]), report=True).collect()}
+    assert got[0]["n_removed_lines"] == 0 and got[1]["n_removed_lines"] > 150_000
+    assert time.time() - began < 30
+
+
 def test_line_dedup_repeated_rows(spark):
     text = "\n".join(words(random.Random(8), 5) for _ in range(12))
     got = linededup.dedup_lines(table(spark, [text, text], [4, 4]), report=True).collect()
@@ -398,6 +457,26 @@ def test_components_says_when_rounds_run_out(spark):
         simhash.components(chain, rounds=1)
 
 
+def test_shards_are_dealt_anew(spark):
+    """Shards that are too large or take too long go by more blocks and lose no link."""
+    rng = random.Random(43)
+    values = {rng.getrandbits(20) | 0xABC << 50 for _ in range(700)}
+    values = sorted(values | {v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in list(values)[:300]})
+    signed = lambda v: v - (v >> 63 << 64)
+    fps = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    wanted = groups_of(values, lambda a, b: (a ^ b).bit_count() <= 2)
+    for options in ({}, {"most": 200, "last": 7}, {"largest": 50, "last": 7}):
+        found = simhash.components(simhash.near_links(fps, 2, 4, **options)).collect()
+        roots = {r["node"]: r["root"] for r in found}
+        sets, brute = defaultdict(set), defaultdict(set)
+        for v in values:
+            sets[roots.get(signed(v), signed(v))].add(v)
+            brute[wanted[v]].add(v)
+        assert sorted(map(sorted, sets.values())) == sorted(map(sorted, brute.values()))
+    assert simhash.tree_links(values, 2, most=100) is None
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**8, 10**9, 10**10)] == [6, 6, 7, 8]
+
+
 @pytest.mark.parametrize("spread", [2, 5, 9])
 def test_bk_trees(spark, spread):
     """Dense and chained clusters: every component, without every pair."""
@@ -554,6 +633,27 @@ def test_shared_folder(spark):
     assert at == spark.conf.get("spark.checkpoint.dir")
     df = common.materialize(spark.range(5))
     assert df.count() == 5 and df.inputFiles()[0].startswith("file:")
+    before = common.written(spark)
+    more = common.materialize(spark.range(3))
+    common.release(spark, [t for t in common.written(spark) if t not in before])
+    assert common.written(spark) == before and df.count() == 5
+    with pytest.raises(Exception):
+        more.collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Unset:
+        def get(self, name, default):
+            return default
+
+    class Cluster:
+        conf = Unset()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Cluster())
 
 
 def test_pipeline(spark, tmp_path):
