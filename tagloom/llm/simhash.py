@@ -385,7 +385,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").where(jaccard("x", "y") >= similarity).select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id
     stays (a null id is greatest; ties go by a hash of the row), and rows that are
     equal in doc_id and text count once.
@@ -403,14 +403,16 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     doc_id, text = F.col("user.doc_id"), F.col("user.text")
     named = keyed.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "row").alias("doc_id"), text.alias("text"))
     each = materialize(prefixes(named, width, similarity))
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-    distinct = materialize(distinct)
-    each, firsts = each.select("doc_id", "fp"), distinct.select("fp", "first")
+    firsts = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = each.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    each = each.select("doc_id", "fp")
 
     def holding(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        ends = ends.join(firsts, "fp").select("fp", F.col("first.row").alias("end"))
-        texts = keyed.select("row", F.coalesce(text, F.lit("")).alias("text")).join(ends, F.col("row") == F.col("end")).dropDuplicates(["fp"])
+        ends = materialize(ends.join(firsts, "fp").select("fp", F.col("first.row").alias("end")))
+        # else all texts are dealt to find the few
+        hint = F.broadcast if ends.count() <= broadcast_rows else (lambda t: t)
+        texts = keyed.select("row", F.coalesce(text, F.lit("")).alias("text")).join(hint(ends), F.col("row") == F.col("end")).dropDuplicates(["fp"])
         return materialize(verified(pairs, texts, width, similarity))
 
     shared = materialize(shared_tokens(distinct, similarity))
@@ -422,4 +424,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     rest = materialize(cross_pairs(rooted, similarity).join(near, ["a", "b"], "left_anti"))
     groups = _components(each, firsts, links.unionByName(holding(rest)))
     kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.row").alias("kept")).distinct())
-    return keyed.join(kept, F.col("row") == F.col("kept"), "left_semi").dropDuplicates(["row"]).select(of_user(docs.columns))
+    left = keyed.join(kept, F.col("row") == F.col("kept"), "left_semi")
+    twice = materialize(each.groupBy(F.col("doc_id.row").alias("again")).count().where("count > 1").select("again"))
+    if not twice.isEmpty():  # only rows that come twice are dealt by their key
+        same = F.col("row") == F.col("again")
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["row"]))
+    return left.select(of_user(docs.columns))
