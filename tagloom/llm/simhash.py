@@ -284,6 +284,14 @@ def _may_match(n, at, m, bt, similarity: float):
     return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(n - at, m - bt) >= both)
 
 
+def _values(column: pa.Array) -> np.ndarray | list:
+    """The column for numpy: numbers, or a list of byte strings or arrays."""
+    if pa.types.is_list(column.type):
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+    return column.to_pylist() if pa.types.is_binary(column.type) else column.to_numpy()
+
+
 def by_token(rows: DataFrame, f, schema: str) -> DataFrame:
     """f over runs of whole groups of equal token, in order of token, n and fp; f takes
     arrays by column and the groups' first places, and yields record batches."""
@@ -293,7 +301,7 @@ def by_token(rows: DataFrame, f, schema: str) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            arrays = {c: table.column(c).to_numpy() for c in names}
+            arrays = {c: _values(table.column(c).combine_chunks()) for c in names}
             token = arrays["token"]
             if len(token):
                 yield from f(arrays, np.flatnonzero(np.r_[True, token[1:] != token[:-1]]))
@@ -335,32 +343,89 @@ def shared_tokens(distinct: DataFrame, similarity: float) -> DataFrame:
     return by_token(each, several, "token long, fp long, n long, at long, one long, two long")
 
 
-def cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of sets that share a token, may match and have different roots."""
+def _mixed(x: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The groups whose sets have several roots, as ranges of places."""
+    if not len(starts):
+        return
+    ends = np.r_[starts[1:], len(x["token"])]
+    own = x["root"] != np.repeat(x["root"][starts], ends - starts)
+    some = np.logical_or.reduceat(own, starts)
+    yield from zip(starts[some].tolist(), ends[some].tolist())
+
+
+def _batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    both = [np.concatenate([p[k] for p in pairs]) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(*both)), pa.array(np.maximum(*both))], ["a", "b"])
+
+
+def hub_pairs(shared: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs a, b that lead each set to the root that most sets of a group have: one
+    with a set of that root near it in size (another one in each turn and group), and
+    one with the set before; at most two for each token of a set."""
 
     def pairs(x: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
+        out = []
+        for i, j in _mixed(x, starts):
+            n, at, fp, root = (x[c][i:j] for c in ("n", "at", "fp", "root"))
+            names, counts = np.unique(root, return_counts=True)
+            home = root == names[counts.argmax()]
+            hub, k = np.flatnonzero(home), np.flatnonzero(~home)
+            turned = (fp[k] ^ x["token"][i]) * (2 * turn + 1) >> 11
+            near = hub[np.clip(np.searchsorted(hub, k) + turned % 17 - 8, 0, len(hub) - 1)]
+            before = np.maximum(k - 1, 0)
+            for other in (near, before):
+                fits = (root[other] != root[k]) & _may_match(n[other], at[other], n[k], at[k], similarity)
+                if fits.any():
+                    out.append((fp[other[fits]], fp[k[fits]]))
+        if out:
+            yield _batch(out)
+
+    return by_token(shared.select("token", "fp", "n", "at", "root"), pairs, "a long, b long").distinct()
+
+
+def crossings(shared: DataFrame) -> float:
+    """In how many pairs of sets that share a token the roots differ (a pair counts for
+    every token)."""
+    each = shared.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+    return each.agg(F.sum((F.col("n") * F.col("n") - F.col("same")).cast("double"))).first()[0] or 0.0
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in out])) for k in (0, 1)], ["a", "b"])
 
-        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(x["token"])]):
+def sketch(held: np.ndarray, size: int = 256) -> bytes:
+    """How many of the hashes fall into each of `size` classes (255 at most)."""
+    return np.minimum(np.bincount((held % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def cross_pairs(shared: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of sets that share a token, may match and have different roots, each
+    once.  sketches has fp, sketch and prefix: the sums of differences of two sketches
+    are at most the number of shingles that one set has and the other lacks, which
+    rules most pairs out; prefixes tell the first of the tokens that two sets share."""
+    most = (1 - similarity) / (1 + similarity)
+
+    def pairs(x: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for i, j in _mixed(x, starts):
             n, at, fp, root = (x[c][i:j] for c in ("n", "at", "fp", "root"))
-            if (root == root[0]).all():
-                continue
+            marks = np.frombuffer(b"".join(x["sketch"][i:j]), np.uint8).reshape(j - i, -1).astype(np.int16)
             for k in range(1, j - i):
                 fits = np.flatnonzero((root[:k] != root[k]) & _may_match(n[:k], at[:k], n[k], at[k], similarity))
                 if len(fits):
-                    other = fp[fits]
-                    out.append((np.minimum(other, fp[k]), np.maximum(other, fp[k])))
-                    held += len(fits)
+                    differ = np.abs(marks[fits] - marks[k]).sum(axis=1)
+                    fits = fits[differ <= most * (n[fits] + n[k]) + 1e-9]
+                    mine = x["prefix"][i + k][: at[k]]
+                    fits = fits[[not np.isin(x["prefix"][i + m][: at[m]], mine).any() for m in fits.tolist()]] if len(fits) else fits
+                    if len(fits):
+                        out.append((fp[fits], np.full(len(fits), fp[k])))
+                        held += len(fits)
                 if held >= 100_000:
-                    yield flush()
+                    yield _batch(out)
                     out, held = [], 0
         if out:
-            yield flush()
+            yield _batch(out)
 
-    return by_token(shared.select("token", "fp", "n", "at", "root"), pairs, "a long, b long").distinct()
+    mixed = shared.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("token").alias("mixed"))
+    rows = shared.join(mixed, F.col("token") == F.col("mixed"), "left_semi").join(sketches.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp"))
+    return by_token(rows.select("token", "fp", "n", "at", "root", "sketch", "prefix"), pairs, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -385,7 +450,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").where(jaccard("x", "y") >= similarity).select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000, turns: int = 8) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id
     stays (a null id is greatest; ties go by a hash of the row), and rows that are
     equal in doc_id and text count once.
@@ -396,32 +461,62 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
     of their prefixes: of n shingles in one order for all, the first
     n - ceil(similarity * n) + 1.  Sizes and places there rule out most of them; the
     rest is computed exactly.  First each set is held against two of those it shares a
-    shingle with, and what is verified is joined, so that a dense group costs few of
-    its pairs.  Then every candidate across the groups so found is verified, too: a
-    pair is passed over only if verified links join it already."""
+    shingle with, and what is verified is joined.  While many candidates still cross
+    the groups so found, further turns hold sets against members of the group that is
+    the most frequent around them, so that a dense group costs few of its pairs.  Then
+    every candidate across groups is verified, too: a pair is passed over only if
+    verified links join it already."""
     keyed = with_user(docs)
     doc_id, text = F.col("user.doc_id"), F.col("user.text")
     named = keyed.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "row").alias("doc_id"), text.alias("text"))
     each = materialize(prefixes(named, width, similarity))
     firsts = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
     distinct = each.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-    each = each.select("doc_id", "fp")
+    heads, each = each.select("fp", "prefix"), each.select("doc_id", "fp")
 
-    def holding(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        ends = materialize(ends.join(firsts, "fp").select("fp", F.col("first.row").alias("end")))
+    def texts_of(some: DataFrame) -> DataFrame:
+        """fp and one text for each of the digests fp of some."""
+        ends = materialize(some.distinct().join(firsts, "fp").select("fp", F.col("first.row").alias("end")))
         # else all texts are dealt to find the few
         hint = F.broadcast if ends.count() <= broadcast_rows else (lambda t: t)
-        texts = keyed.select("row", F.coalesce(text, F.lit("")).alias("text")).join(hint(ends), F.col("row") == F.col("end")).dropDuplicates(["fp"])
-        return materialize(verified(pairs, texts, width, similarity))
+        return keyed.select("row", F.coalesce(text, F.lit("")).alias("text")).join(hint(ends), F.col("row") == F.col("end")).dropDuplicates(["fp"])
+
+    def holding(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
+        return materialize(verified(pairs, texts_of(ends), width, similarity))
 
     shared = materialize(shared_tokens(distinct, similarity))
     two = shared.select("fp", F.explode(F.array("one", "two")).alias("other")).where("other is not null")
     near = materialize(two.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
-    links = holding(near)
+    links, tried, enough = holding(near), near, shared.count() / 20
     roots = components(links)
-    rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
-    rest = materialize(cross_pairs(rooted, similarity).join(near, ["a", "b"], "left_anti"))
+
+    def rooted() -> DataFrame:
+        return shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))
+
+    before = float("inf")
+    for turn in range(turns):
+        now = crossings(rooted())
+        if now <= enough or now > 0.8 * before:
+            break
+        before = now
+        pairs = materialize(hub_pairs(rooted(), similarity, turn).join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        found, tried = holding(pairs), tried.unionByName(pairs)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
+
+    @F.pandas_udf("binary")
+    def sketched(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: sketch(np.unique(shingle_hashes(t, width))))
+
+    mixed = rooted().groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("token").alias("mixed"))
+    some = rooted().join(mixed, F.col("token") == F.col("mixed"), "left_semi").select("fp")
+    sketches = texts_of(some).select("fp", sketched("text").alias("sketch"))
+    sketches = materialize(sketches.join(heads.join(some.distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "fp"))
+    rest = materialize(cross_pairs(rooted(), sketches, similarity).join(tried, ["a", "b"], "left_anti"))
     groups = _components(each, firsts, links.unionByName(holding(rest)))
     kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.row").alias("kept")).distinct())
     left = keyed.join(kept, F.col("row") == F.col("kept"), "left_semi")
