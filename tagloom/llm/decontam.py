@@ -40,27 +40,27 @@ UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "ms", "min", "h
 MARK = "\x01"
 #: What marks a capitalised word that begins a sentence, while tokens are cut.
 MAYBE = "\x02"
+#: What stands for a point and a comma between digits, while tokens are cut.
+POINT, COMMA = "\x03", "\x04"
 NUMBER, UNIT, NAME = MARK + "n", MARK + "u", MARK + "p"
+# No expression repeats a group: the engine would need a stack as deep as the text is long.
 _WORD = r"\p{L}\p{N}_"
-#: A capitalised word after another word with no end of a sentence between; digits that
-#: belong to no word; a unit after a number; what stands between tokens.
-_NAME = rf"(\p{{Lu}}(?<=[{_WORD}][^{_WORD}.!?\n]{{1,8}}\p{{Lu}})[\p{{Ll}}\p{{N}}_]*\p{{Ll}}[\p{{Ll}}\p{{N}}_]*)(?![{_WORD}])"
-_FIRST = rf"(\p{{Lu}}(?<![{_WORD}]\p{{Lu}})[\p{{Ll}}\p{{N}}_]*\p{{Ll}}[\p{{Ll}}\p{{N}}_]*)(?![{_WORD}])"
-_NUMBER = rf"([0-9](?<![{_WORD}][0-9])[0-9]*(?:[.,][0-9]+)*)"
-_UNIT = rf"({NUMBER}[0-9.,]+ {{1,2}})((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![{_WORD}])"
-_BETWEEN = rf"(?:[^{_WORD}{MARK}{MAYBE}.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
-
-
-def tokens(text: Column) -> Column:
-    """The tokens; a placeholder is a mark, its type, and the value it stands for; a
-    word that may be a name has another mark before it."""
-    text = F.translate(text, MARK + MAYBE, "  ")
-    text = F.regexp_replace(text, _NAME, f" {NAME}$1 ")
-    text = F.regexp_replace(text, _FIRST, f" {MAYBE}$1 ")
+_CAPITAL = rf"(\p{{Lu}}(?<![{_WORD}]\p{{Lu}})[\p{{Ll}}\p{{N}}_]*\p{{Ll}}[\p{{Ll}}\p{{N}}_]*)(?![{_WORD}])"
+#: A capitalised word after another word with no end of a sentence between.
+_INSIDE = rf"{MAYBE}(?<=[{_WORD}][^{_WORD}.!?\n]{{1,8}}{MAYBE})"
+#: Digits that belong to no word; a unit after a number; what stands between tokens.
+_NUMBER = rf"([0-9](?<![{_WORD}{POINT}{COMMA}][0-9])[0-9{POINT}{COMMA}]*)"
+_UNIT = rf"({NUMBER}[0-9{POINT}{COMMA}]+ {{1,2}})((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![{_WORD}])"
+_BETWEEN = rf"[^{_WORD}{MARK}{MAYBE}{POINT}{COMMA}]+"
+
+
+def _numbered(text: Column) -> Column:
+    for sign, mark in ((".", POINT), (",", COMMA)):
+        between = rf"[{sign}](?<=[0-9].)(?=[0-9])"
+        text = F.regexp_replace(text, between, mark)
     text = F.regexp_replace(text, _NUMBER, f" {NUMBER}$1 ")
     text = F.regexp_replace(text, _UNIT, f"$1{UNIT}$2 ")
-    text = F.regexp_replace(text, rf"({NUMBER}[0-9.,]+ {{1,2}})%", f"$1{UNIT}percent ")
-    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
+    return F.regexp_replace(text, rf"({NUMBER}[0-9{POINT}{COMMA}]+ {{1,2}})%", f"$1{UNIT}percent ")
 
 
 def _sign(token: Column) -> Column:
@@ -68,13 +68,22 @@ def _sign(token: Column) -> Column:
 
 
 def canonical(docs: DataFrame) -> DataFrame:
-    """Adds __t, the tokens, and __q, which of them may be names (null if none)."""
-    out = docs.withColumn("__raw", tokens(text_of()))
-    maybe = F.exists("__raw", lambda t: t.startswith(MAYBE))
+    """Adds __t, the tokens (a placeholder is a mark, its type, and the value it stands
+    for), and __q, which of them may be names (null if none).  Each step is a column,
+    so that texts pay only for what they hold."""
+    out = docs.withColumn("__a", text_of())
+    out = out.withColumn("__a", F.when(F.col("__a").rlike(f"[{MARK}-{COMMA}]"), F.translate("__a", MARK + MAYBE + POINT + COMMA, "    ")).otherwise(F.col("__a")))
+    out = out.withColumn("__a", F.regexp_replace(F.regexp_replace("__a", _CAPITAL, f"{MAYBE}$1"), _INSIDE, NAME))
+    out = out.withColumn("__digits", F.col("__a").rlike("[0-9]"))
+    out = out.withColumn("__a", F.when(F.col("__digits"), _numbered(F.col("__a"))).otherwise(F.col("__a")))
+    out = out.withColumn("__raw", F.array_remove(F.split(F.lower("__a"), _BETWEEN), ""))
+    out = out.withColumn("__raw", F.when(F.col("__digits"), F.transform("__raw", lambda t: F.translate(t, POINT + COMMA, ".,"))).otherwise(F.col("__raw")))
+    maybe = F.col("__a").contains(MAYBE)
     return out.withColumns({
         "__t": F.when(maybe, F.transform("__raw", lambda t: F.ltrim(t, F.lit(MAYBE)))).otherwise(F.col("__raw")),
         "__q": F.when(maybe, F.transform("__raw", lambda t: F.when(t.startswith(MAYBE), 1).otherwise(0))),
-    }).drop("__raw")
+        "__some": F.col("__a").contains(MARK),
+    }).drop("__raw", "__a", "__digits")
 
 
 def signs() -> Column:
@@ -82,47 +91,49 @@ def signs() -> Column:
     return F.transform("__t", _sign)
 
 
-def _hashes(width: int) -> Column:
-    """The hash of every window of `width` of __g (token hashes), null if the window
-    has too few plain words (__w has 1 for a plain word; null if all are plain)."""
-    if width < 3:
-        return F.array().cast("array<bigint>")
-
-    def plain(i: Column) -> Column:
-        return F.xxhash64(F.lit(width), *[F.get("__g", i + k) for k in range(width)])
-
-    def mixed(i: Column) -> Column:
-        words = sum((F.get("__w", i + k) for k in range(1, width)), F.get("__w", i))
-        return F.when(words >= 3, plain(i))
-
-    n = F.size("__g") - width
-    at = F.sequence(F.lit(0), F.greatest(n, F.lit(0)))
+def _runs(df: DataFrame, name: str, widths: list[int], both) -> DataFrame:
+    """Adds {name}_{width}: both() folded over every `width` neighbours of the array
+    `name`, by doubling; each step is a column, so that none is computed twice."""
+    later = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))
+    step, size, done = name, 1, {w: None for w in widths}  # done: so far, and how long
+    while size <= max(widths):
+        for w in widths:
+            if w & size:
+                df = df.withColumn(f"{name}_to{w}_{size}", F.col(step) if done[w] is None else F.zip_with(done[w][0], later(step, done[w][1]), both))
+                done[w] = (f"{name}_to{w}_{size}", size if done[w] is None else done[w][1] + size)
+        if 2 * size <= max(widths):
+            df = df.withColumn(f"{name}_by{2 * size}", F.zip_with(step, later(step, size), both))
+            step = f"{name}_by{2 * size}"
+        size *= 2
+    return df.withColumns({f"{name}_{w}": F.slice(done[w][0], 1, F.greatest(F.size(name) - w + 1, F.lit(0))) for w in widths})
+
+
+def windows(docs: DataFrame, widths: list[int], strong: bool = False) -> DataFrame:
+    """Adds __h, an array of (width, hashes, others) for the canonical texts: the hash of
+    every window, and the hash of every window that holds a word that may be a name,
+    with that read as a name, else null.  strong: only of windows with three plain words
+    or more; equal windows have as many, so one side of a join can see to that."""
+    name = F.xxhash64(F.lit(NAME))
+    out = canonical(docs)
+    out = out.withColumn("__g", F.when(F.col("__some"), F.transform("__t", lambda t: F.xxhash64(_sign(t)))).otherwise(F.transform("__t", lambda t: F.xxhash64(t))))
+    out = out.withColumn("__g2", F.when(F.col("__q").isNotNull(), F.zip_with("__g", "__q", lambda g, q: F.when(q == 1, name).otherwise(g))))
+    for array in ("__g", "__g2"):
+        out = _runs(out, array, widths, lambda a, b: F.xxhash64(a, b))
+    if strong:
+        out = out.withColumn("__w", F.transform("__t", lambda t: F.when(t.startswith(MARK), 0).otherwise(1)))
+        out = out.withColumn("__w2", F.zip_with("__w", F.coalesce("__q", F.transform("__t", lambda t: F.lit(0))), lambda w, q: w - q))
+        for array in ("__w", "__w2"):
+            out = _runs(out, array, widths, lambda a, b: a + b)
     none = F.array().cast("array<bigint>")
-    return F.when(n < 0, none).when(F.col("__w").isNull(), F.transform(at, plain)).otherwise(F.transform(at, mixed))
-
-
-def _others(width: int) -> Column:
-    """The hash of every window of `width` that holds a word that may be a name, with
-    that read as a name; null for the rest and where too few plain words are left."""
-    def other(i: Column) -> Column:
-        total = lambda c: sum((F.get(c, i + k) for k in range(1, width)), F.get(c, i))
-        named = F.xxhash64(F.lit(width), *[F.when(F.get("__q", i + k) == 1, F.xxhash64(F.lit(NAME))).otherwise(F.get("__g", i + k)) for k in range(width)])
-        words = F.when(F.col("__w").isNull(), F.lit(width)).otherwise(total("__w"))
-        return F.when((total("__q") > 0) & (words - total("__q") >= 3), named)
-
-    n = F.size("__g") - width
-    return F.when((n >= 0) & F.col("__q").isNotNull(), F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), other)).otherwise(F.array().cast("array<bigint>"))
 
+    def of(w: int) -> Column:
+        hashes = F.col(f"__g_{w}")
+        others = F.zip_with(hashes, f"__g2_{w}", lambda a, b: F.when(a != b, b))
+        if strong:
+            hashes, others = (F.zip_with(h, f"{n}_{w}", lambda a, n: F.when(n >= 3, a)) for h, n in ((hashes, "__w"), (others, "__w2")))
+        return F.struct(F.lit(w).alias("width"), hashes.alias("hashes"), F.when(F.col("__q").isNull(), none).otherwise(others).alias("others"))
 
-def windows(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """Adds __h, an array of (width, hashes, others) for the canonical texts."""
-    out = canonical(docs).withColumn("__some", F.exists("__t", lambda t: t.startswith(MARK)))
-    plain = F.transform("__t", lambda t: F.when(t.startswith(MARK), 0).otherwise(1))
-    out = out.withColumns({
-        "__g": F.when(F.col("__some"), F.transform("__t", lambda t: F.xxhash64(_sign(t)))).otherwise(F.transform("__t", lambda t: F.xxhash64(t))),
-        "__w": F.when(F.col("__some"), plain),
-    })
-    return out.withColumn("__h", F.array(*[F.struct(F.lit(w).alias("width"), _hashes(w).alias("hashes"), _others(w).alias("others")) for w in widths]))
+    return out.withColumn("__h", F.array(*[of(w) for w in widths])).select(*docs.columns, "__t", "__q", "__h")
 
 
 def _readings(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,10 +161,10 @@ def _readings(table: DataFrame, keys: list[str]) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: float = 0.8, broadcast_rows: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, n_slots, n_consistent and row_key
     (the document's) for every document that leaks an item."""
-    items = canonical(benchmark.select("item_id", "text")).withColumn("__n", F.size("__t"))
+    items = canonical(benchmark.select("item_id", "text")).drop("__some").withColumn("__n", F.size("__t"))
     short = sorted(r[0] for r in items.where(f"__n between 3 and {width - 1}").select("__n").distinct().collect())  # fewer than `width` rows
     widths = [width, *short]
-    cut = materialize(windows(benchmark.select("item_id", "text"), widths).withColumn("__n", F.size("__t")))
+    cut = materialize(windows(benchmark.select("item_id", "text"), widths, strong=True).withColumn("__n", F.size("__t")))
     held = _readings(cut, ["item_id", "__n"]).where(f"width = least(__n, {width})")
     wanted = materialize(held.select("item_id", "plain", "h").distinct())
     hint = F.broadcast if wanted.count() <= broadcast_rows else (lambda t: t)
@@ -210,6 +221,6 @@ def unmatchable(benchmark: DataFrame, width: int = 5) -> DataFrame:
     """item_id of the items that leaks() cannot find: without a window of three plain
     words, so that any text might hold them by chance."""
     items = benchmark.select("item_id", "text")
-    cut = windows(items, [width, *range(3, width)]).withColumn("__n", F.size("__t"))
+    cut = windows(items, [width, *range(3, width)], strong=True).withColumn("__n", F.size("__t"))
     held = _readings(cut, ["item_id", "__n"]).where(f"width = least(__n, {width})").select("item_id").distinct()
     return items.select("item_id").join(held, "item_id", "left_anti")
