@@ -395,37 +395,39 @@ def sketch(held: np.ndarray, size: int = 256) -> bytes:
     return np.minimum(np.bincount((held % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
 
-def cross_pairs(shared: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs a, b of sets that share a token, may match and have different roots, each
-    once.  sketches has fp, sketch and prefix: the sums of differences of two sketches
-    are at most the number of shingles that one set has and the other lacks, which
-    rules most pairs out; prefixes tell the first of the tokens that two sets share."""
+def cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of sets that share a token, may match and have different roots.  If
+    shared has sketch and prefix, too: the sums of differences of two sketches are at
+    most the number of shingles that one set has and the other lacks, which rules most
+    pairs out, and prefixes tell the first of the tokens that two sets share, so each
+    pair comes once."""
     most = (1 - similarity) / (1 + similarity)
+    large = "sketch" in shared.columns
 
     def pairs(x: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
         for i, j in _mixed(x, starts):
             n, at, fp, root = (x[c][i:j] for c in ("n", "at", "fp", "root"))
-            marks = np.frombuffer(b"".join(x["sketch"][i:j]), np.uint8).reshape(j - i, -1).astype(np.int16)
+            if large:
+                marks, prefix = np.frombuffer(b"".join(x["sketch"][i:j]), np.uint8).reshape(j - i, -1).astype(np.int16), x["prefix"][i:j]
             for k in range(1, j - i):
                 fits = np.flatnonzero((root[:k] != root[k]) & _may_match(n[:k], at[:k], n[k], at[k], similarity))
+                if large and len(fits):
+                    fits = fits[np.abs(marks[fits] - marks[k]).sum(axis=1) <= most * (n[fits] + n[k]) + 1e-9]
+                    mine = prefix[k][: at[k]]
+                    fits = fits[[not np.isin(prefix[m][: at[m]], mine).any() for m in fits.tolist()]] if len(fits) else fits
                 if len(fits):
-                    differ = np.abs(marks[fits] - marks[k]).sum(axis=1)
-                    fits = fits[differ <= most * (n[fits] + n[k]) + 1e-9]
-                    mine = x["prefix"][i + k][: at[k]]
-                    fits = fits[[not np.isin(x["prefix"][i + m][: at[m]], mine).any() for m in fits.tolist()]] if len(fits) else fits
-                    if len(fits):
-                        out.append((fp[fits], np.full(len(fits), fp[k])))
-                        held += len(fits)
+                    out.append((fp[fits], np.full(len(fits), fp[k])))
+                    held += len(fits)
                 if held >= 100_000:
                     yield _batch(out)
                     out, held = [], 0
         if out:
             yield _batch(out)
 
-    mixed = shared.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("token").alias("mixed"))
-    rows = shared.join(mixed, F.col("token") == F.col("mixed"), "left_semi").join(sketches.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp"))
-    return by_token(rows.select("token", "fp", "n", "at", "root", "sketch", "prefix"), pairs, "a long, b long")
+    columns = ["token", "fp", "n", "at", "root", *(["sketch", "prefix"] if large else [])]
+    found = by_token(shared.select(*columns), pairs, "a long, b long")
+    return found if large else found.distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -450,7 +452,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").where(jaccard("x", "y") >= similarity).select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000, turns: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000, turns: int = 8, small: int = 32) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id
     stays (a null id is greatest; ties go by a hash of the row), and rows that are
     equal in doc_id and text count once.
@@ -465,7 +467,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
     the groups so found, further turns hold sets against members of the group that is
     the most frequent around them, so that a dense group costs few of its pairs.  Then
     every candidate across groups is verified, too: a pair is passed over only if
-    verified links join it already."""
+    verified links join it already, or if sketches show, where more than `small` sets
+    share a shingle, that the two differ too much."""
     keyed = with_user(docs)
     doc_id, text = F.col("user.doc_id"), F.col("user.text")
     named = keyed.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "row").alias("doc_id"), text.alias("text"))
@@ -512,11 +515,17 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
     def sketched(batch: pd.Series) -> pd.Series:
         return batch.map(lambda t: sketch(np.unique(shingle_hashes(t, width))))
 
-    mixed = rooted().groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("token").alias("mixed"))
-    some = rooted().join(mixed, F.col("token") == F.col("mixed"), "left_semi").select("fp")
-    sketches = texts_of(some).select("fp", sketched("text").alias("sketch"))
-    sketches = materialize(sketches.join(heads.join(some.distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "fp"))
-    rest = materialize(cross_pairs(rooted(), sketches, similarity).join(tried, ["a", "b"], "left_anti"))
+    last = materialize(rooted())
+    own = last.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("sets")).where("low != high")
+    own = materialize(own.select(F.col("token").alias("own"), (F.col("sets") > small).alias("large")))
+    few, many = (last.join(own.where(which), F.col("token") == F.col("own"), "left_semi") for which in ("not large", "large"))
+    rest = cross_pairs(few, similarity)
+    if not own.where("large").isEmpty():
+        some = many.select("fp").distinct()
+        sketches = texts_of(some).select("fp", sketched("text").alias("sketch"))
+        sketches = materialize(sketches.join(heads.join(some, "fp", "left_semi").dropDuplicates(["fp"]), "fp"))
+        rest = rest.unionByName(cross_pairs(many.join(sketches, "fp"), similarity)).distinct()
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
     groups = _components(each, firsts, links.unionByName(holding(rest)))
     kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.row").alias("kept")).distinct())
     left = keyed.join(kept, F.col("row") == F.col("kept"), "left_semi")
