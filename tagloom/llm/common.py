@@ -36,8 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df once to the shared folder and reads it back: what follows no
-    longer depends on shuffle files or cached blocks of executors that may die."""
+    longer depends on shuffle files or cached blocks of executors that may die.
+
+    Shuffle files of steps before are deleted first: Spark does so once the driver's
+    collector finds that nothing refers to them, which else may be long after."""
     spark = df.sparkSession
+    spark._jvm.System.gc()
     at = f"{shared_dir(spark)}/tagloom/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
     _written.setdefault(spark.sparkContext.applicationId, []).append(at)

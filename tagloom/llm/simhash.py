@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialize, of_user, text_of, with_user
+from tagloom.llm.common import materialize, of_user, release, text_of, with_user, written
 from tagloom.llm.graph import components
 
 
@@ -452,7 +452,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").where(jaccard("x", "y") >= similarity).select("a", "b")
 
 
-def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000, turns: int = 8, small: int = 32) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000, turns: int = 8, small: int = 16) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id
     stays (a null id is greatest; ties go by a hash of the row), and rows that are
     equal in doc_id and text count once.
@@ -486,7 +486,10 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
 
     def holding(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
-        return materialize(verified(pairs, texts_of(ends), width, similarity))
+        before = written(docs.sparkSession)
+        out = materialize(verified(pairs, texts_of(ends), width, similarity))
+        release(docs.sparkSession, [t for t in written(docs.sparkSession)[:-1] if t not in before])
+        return out
 
     shared = materialize(shared_tokens(distinct, similarity))
     two = shared.select("fp", F.explode(F.array("one", "two")).alias("other")).where("other is not null")
