@@ -453,10 +453,11 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, frequent: n
             yield from judged()
 
     once = docs.select("id", "row", "text")
+    # with doc_id, which nothing here reads, the texts' exchange is that of dedup_suffixes
     hashes = once.where(F.length("text") >= length // 4).mapInArrow(hashed, "bucket int, blob binary")
     anchors = hashes.repartition(parts, "bucket").mapInArrow(repeated, "id long, row long, spot long")
     spots = anchors.groupBy(F.col("id").alias("spot_id"), F.col("row").alias("spot_row")).agg(F.collect_set("spot").alias("spots"))
-    held = once.join(spots, (F.col("id") == F.col("spot_id")) & (F.col("row") == F.col("spot_row"))).select("id", "row", "text", "spots")
+    held = docs.join(spots, (F.col("id") == F.col("spot_id")) & (F.col("row") == F.col("spot_row"))).select(*docs.columns, "spots")
     sent = held.mapInArrow(runs, "bucket int, id long, row long, cover long, run binary")
     return sent.repartition(parts, "bucket").mapInArrow(merge, "id long, row long, cover long")
 
