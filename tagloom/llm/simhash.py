@@ -397,10 +397,9 @@ def sketch(held: np.ndarray, size: int = 256) -> bytes:
 
 def cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs a, b of sets that share a token, may match and have different roots.  If
-    shared has sketch and prefix, too: the sums of differences of two sketches are at
-    most the number of shingles that one set has and the other lacks, which rules most
-    pairs out, and prefixes tell the first of the tokens that two sets share, so each
-    pair comes once."""
+    shared has sketch, too: the sums of differences of two sketches are at most the
+    number of shingles that one set has and the other lacks, which rules most pairs
+    out.  Rows carry nothing that grows with the text, as a long one has many."""
     most = (1 - similarity) / (1 + similarity)
     large = "sketch" in shared.columns
 
@@ -409,13 +408,11 @@ def cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
         for i, j in _mixed(x, starts):
             n, at, fp, root = (x[c][i:j] for c in ("n", "at", "fp", "root"))
             if large:
-                marks, prefix = np.frombuffer(b"".join(x["sketch"][i:j]), np.uint8).reshape(j - i, -1).astype(np.int16), x["prefix"][i:j]
+                marks = np.frombuffer(b"".join(x["sketch"][i:j]), np.uint8).reshape(j - i, -1).astype(np.int16)
             for k in range(1, j - i):
                 fits = np.flatnonzero((root[:k] != root[k]) & _may_match(n[:k], at[:k], n[k], at[k], similarity))
                 if large and len(fits):
                     fits = fits[np.abs(marks[fits] - marks[k]).sum(axis=1) <= most * (n[fits] + n[k]) + 1e-9]
-                    mine = prefix[k][: at[k]]
-                    fits = fits[[not np.isin(prefix[m][: at[m]], mine).any() for m in fits.tolist()]] if len(fits) else fits
                 if len(fits):
                     out.append((fp[fits], np.full(len(fits), fp[k])))
                     held += len(fits)
@@ -425,9 +422,8 @@ def cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
         if out:
             yield _batch(out)
 
-    columns = ["token", "fp", "n", "at", "root", *(["sketch", "prefix"] if large else [])]
-    found = by_token(shared.select(*columns), pairs, "a long, b long")
-    return found if large else found.distinct()
+    columns = ["token", "fp", "n", "at", "root", *(["sketch"] if large else [])]
+    return by_token(shared.select(*columns), pairs, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -475,7 +471,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
     each = materialize(prefixes(named, width, similarity))
     firsts = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
     distinct = each.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-    heads, each = each.select("fp", "prefix"), each.select("doc_id", "fp")
+    each = each.select("doc_id", "fp")
 
     def texts_of(some: DataFrame) -> DataFrame:
         """fp and one text for each of the digests fp of some."""
@@ -525,8 +521,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
     rest = cross_pairs(few, similarity)
     if not own.where("large").isEmpty():
         some = many.select("fp").distinct()
-        sketches = texts_of(some).select("fp", sketched("text").alias("sketch"))
-        sketches = materialize(sketches.join(heads.join(some, "fp", "left_semi").dropDuplicates(["fp"]), "fp"))
+        sketches = materialize(texts_of(some).select("fp", sketched("text").alias("sketch")))
         rest = rest.unionByName(cross_pairs(many.join(sketches, "fp"), similarity)).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
     groups = _components(each, firsts, links.unionByName(holding(rest)))
