@@ -62,7 +62,8 @@ def needs_encoding(text: Column) -> Column:
 
 
 def cesu8_encode(text: Column) -> Column:
-    """The spelling, BINARY.  Characters are respelled only in texts that need it."""
+    """The spelling, BINARY.  Only runs of odd characters are respelled; what stands
+    between them is taken whole."""
     def three(unit: Column) -> Column:
         at = F.conv(unit, 16, 10).cast("int")
         high, mid, low = F.shiftright(at, 12), F.shiftright(at, 6).bitwiseAND(F.lit(63)), at.bitwiseAND(F.lit(63))
@@ -76,7 +77,13 @@ def cesu8_encode(text: Column) -> Column:
             .otherwise(F.hex(F.encode(c, "UTF-8")))
         )
 
-    respelled = F.unhex(F.array_join(F.transform(F.split(text, ""), spelled), ""))
+    def joined(piece: Column, run: Column) -> Column:
+        odd = F.array_join(F.transform(F.split(run, ""), spelled), "")
+        return F.concat(F.hex(F.encode(piece, "UTF-8")), F.coalesce(odd, F.lit("")))
+
+    # one piece more than runs, so the last piece meets null
+    pieces, runs = F.split(text, f"{ODD}+"), F.regexp_extract_all(text, F.lit(f"{ODD}+"), 0)
+    respelled = F.unhex(F.array_join(F.zip_with(pieces, runs, joined), ""))
     return F.when(needs_encoding(text), respelled).otherwise(F.encode(text, "UTF-8"))
 
 
@@ -118,12 +125,14 @@ def _apply(function, kind: str):
 
 
 def cesu8_decode(data: Column) -> Column:
-    """The text, or null if data is no spelling."""
-    return _apply(decode, "string")(data)
+    """The text, or null if data is no spelling.  Python sees only what is not UTF-8 as well."""
+    plain = _plain(data)
+    return F.coalesce(F.when(plain, data.cast("string")), _apply(decode, "string")(F.when(~plain, data)))
 
 
 def is_cesu8(data: Column) -> Column:
-    return _apply(valid, "boolean")(data)
+    plain = _plain(data)
+    return F.when(plain, F.lit(True)).otherwise(_apply(valid, "boolean")(F.when(~plain, data)))
 
 
 def try_decode(data: Column) -> Column:

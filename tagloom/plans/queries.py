@@ -184,35 +184,36 @@ def scalar_double(spark, sf_dir):
 
 # strings: documents have neither NUL nor characters beyond U+FFFF, so some get them
 ODD = "\0🦀"
-SQL_ODD = "CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 2000) || chr(0) || chr(129408) ELSE substring(text, 1, 2000) END"
+SQL_ODD = "CASE WHEN doc_id % 3 = 0 THEN text || chr(0) || chr(129408) ELSE text END"
 BODY = record(field("body", "string"))
-SQL_DOCS = f"(SELECT doc_id, {SQL_ODD} AS t, doc_id % 3 = 0 AS odd, substring(text, 1, 2000) AS plain FROM documents)"
+SQL_DOCS = f"(SELECT doc_id, {SQL_ODD} AS t, doc_id % 3 = 0 AS odd, text AS plain, strlen(text) + CASE WHEN doc_id % 3 = 0 THEN 8 ELSE 0 END > 65535 AS too_long FROM documents)"
 
 
 def _texts(spark, sf_dir) -> DataFrame:
-    """Texts of at most 2,002 characters (a string holds 65,535 bytes at most)."""
-    head = F.substring("text", 1, 2000)
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(head, F.lit(ODD))).otherwise(head).alias("t"))
+    """The whole texts, and doc: a document of one string each, null where the spelling
+    has more than the 65,535 bytes that a string holds."""
+    odd = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(ODD))).otherwise(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", odd.alias("t"))
+    doc = F.when(cesu8.cesu8_length(F.col("t")) <= 65_535, encode_static(F.struct(F.col("t").alias("body")), BODY))
+    return rows.withColumn("doc", doc)
 
 
-@query(f"SELECT doc_id, length(t) AS n, sha256(t) AS digest FROM {SQL_DOCS}")
+@query(f"SELECT doc_id, CASE WHEN NOT too_long THEN length(t) END AS n, CASE WHEN NOT too_long THEN sha256(t) END AS digest FROM {SQL_DOCS}")
 def string_roundtrip(spark, sf_dir):
-    doc = encode_static(F.struct(F.col("t").alias("body")), BODY)
-    got = decode(doc, BODY)["value"]["body"]
+    got = decode(F.col("doc"), BODY)["value"]["body"]
     return _texts(spark, sf_dir).select("doc_id", got.alias("b")).select("doc_id", F.length("b").cast("bigint").alias("n"), F.sha2("b", 256).alias("digest"))
 
 
-@query(f"SELECT doc_id, hex(plain) || CASE WHEN odd THEN 'C080EDA0BEEDB680' ELSE '' END AS raw FROM {SQL_DOCS}")
+@query(f"SELECT doc_id, CASE WHEN NOT too_long THEN hex(plain) || CASE WHEN odd THEN 'C080EDA0BEEDB680' ELSE '' END END AS raw FROM {SQL_DOCS}")
 def string_raw(spark, sf_dir):
     kind = record(field("body", "binary", mode="raw"))
-    doc = encode_static(F.struct(F.col("t").alias("body")), BODY)
-    return _texts(spark, sf_dir).select("doc_id", F.hex(decode(doc, kind)["value"]["body"]).alias("raw"))
+    return _texts(spark, sf_dir).select("doc_id", F.hex(decode(F.col("doc"), kind)["value"]["body"]).alias("raw"))
 
 
-@query(f"SELECT doc_id, CASE WHEN odd THEN 'InvalidUtf8' ELSE 'ok' END AS outcome FROM {SQL_DOCS}")
+@query(f"SELECT doc_id, CASE WHEN too_long THEN 'InvalidLength' WHEN odd THEN 'InvalidUtf8' ELSE 'ok' END AS outcome FROM {SQL_DOCS}")
 def string_strict(spark, sf_dir):
     kind = record(field("body", "string", mode="strict"))
-    return _texts(spark, sf_dir).select("doc_id", code(encode_static(F.struct(F.col("t").alias("body")), BODY), kind).alias("outcome"))
+    return _texts(spark, sf_dir).select("doc_id", F.when(F.col("doc").isNull(), "InvalidLength").otherwise(code(F.col("doc"), kind)).alias("outcome"))
 
 
 @query(f"SELECT doc_id, strlen(plain) + CASE WHEN odd THEN 8 ELSE 0 END AS n, strlen(plain) + CASE WHEN odd THEN 8 ELSE 0 END AS counted FROM {SQL_DOCS}")
@@ -244,10 +245,10 @@ def cesu8_chars(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", F.size(cesu8.chars(F.col("t"))).cast("bigint").alias("n"))
 
 
-@query("SELECT doc_id, hex(substring(text, 1, 20)) || 'C08061' AS pushed FROM documents")
+@query("SELECT doc_id, hex(text) || 'C08061' AS pushed FROM documents")
 def cesu8_push(spark, sf_dir):
-    head = cesu8.cesu8_encode(F.substring("text", 1, 20))
-    return table(spark, sf_dir, "documents").select("doc_id", F.hex(cesu8.push_str(head, F.lit("\0a"))).alias("pushed"))
+    spelled = cesu8.cesu8_encode(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(cesu8.push_str(spelled, F.lit("\0a"))).alias("pushed"))
 
 
 SAMPLES = ["7F", "00", "EFBFBF", "F0908080", "EE8080", "C3A9", "41", "F09FA680"]
@@ -266,9 +267,9 @@ def cesu8_sort_order(spark, sf_dir):
     return rows.join(ranks, "b", "left").select("n_nationkey", F.hex("b").alias("spelled"), (F.coalesce("less", F.lit(0)) + 1).cast("bigint").alias("place"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(repeat(substring(text, 1, 40), 2000)) > 65535 THEN 'InvalidLength' ELSE 'ok' END AS outcome FROM documents")
+@query("SELECT doc_id, CASE WHEN strlen(repeat(text, 20)) > 65535 THEN 'InvalidLength' ELSE 'ok' END AS outcome FROM documents")
 def string_too_long(spark, sf_dir):
-    value = F.struct(F.expr("repeat(substring(text, 1, 40), 2000)").alias("body"))
+    value = F.struct(F.expr("repeat(text, 20)").alias("body"))
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(encode(value, BODY)["error"]["code"], F.lit("ok")).alias("outcome"))
 
 
@@ -656,5 +657,8 @@ def events_stream_decode(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     docs = rows.select(written(kind, row(kind)).alias("doc"))
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/tagloom-streams'}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = f"{shared or 'file:///tmp/tagloom-streams'}/stream-{uuid.uuid4().hex}"
     return run_available(decode_stream(docs, "doc", kind)[0], f"{at}/out", f"{at}/state")

@@ -111,3 +111,27 @@ def test_type_names():
     assert parse_type("struct<a:array<map<string,bigint>>,b:decimal(20,0)>").simpleString() == "struct<a:array<map<string,bigint>>,b:decimal(20,0)>"
     with pytest.raises(ValueError):
         parse_type("nothing")
+
+
+def test_cesu8_columns_match_python(spark):
+    """Spellings of random texts, and what the edges of the grammar decode to."""
+    import itertools
+    import random
+
+    from test_cesu8 import ACCEPTED, EDGES, REFUSED
+
+    rng = random.Random(3)
+    texts = ["", "\0", "a\0", "\0a", "a\0\0🦀b", "🦀", "x" * 70_000 + "🦀" + "y" * 10] + ["".join(rng.choice("aé日\0🦀\U0010ffff") for _ in range(rng.randrange(12))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = rows.select("t", cesu8.cesu8_encode(rows.t).alias("b"), cesu8.cesu8_length(rows.t).alias("n")).collect()
+    assert all(r.b is None if r.t is None else (bytes(r.b), r.n) == (cesu8.encode(r.t), len(cesu8.encode(r.t))) for r in got)
+
+    data = [bytes.fromhex(x) for x in ACCEPTED + REFUSED] + [bytes(x) for n in (1, 2, 3) for x in itertools.product(EDGES, repeat=n)] + [cesu8.encode(t) for t in texts]
+    spelled = spark.createDataFrame([(d,) for d in data] + [(None,)], "d binary")
+    for r in spelled.select("d", cesu8.cesu8_decode(spelled.d).alias("t"), cesu8.is_cesu8(spelled.d).alias("ok")).collect():
+        if r.d is None:
+            assert r.t is None and r.ok is None
+        elif cesu8.valid(bytes(r.d)):
+            assert r.ok and r.t == cesu8.decode(bytes(r.d))
+        else:
+            assert r.t is None and r.ok is False, bytes(r.d).hex()
