@@ -248,11 +248,11 @@ def common_shingles(docs: DataFrame, width: int, sample: int = 20_000, most: int
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, fp (here a digest of the set of shingles), n (its size) and prefix: the
-    rarest shingles, so many that two sets as similar as that share one of them."""
+    """doc_id, fp (here a digest of the set of shingles), n (its size), its sketch, and
+    prefix: the rarest shingles, so many that two sets as similar as that share one."""
     common, often = common_shingles(docs, width)
 
-    @F.pandas_udf("fp long, n long, prefix array<long>")
+    @F.pandas_udf("fp long, n long, sketch binary, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         from xxhash import xxh64_intdigest
 
@@ -266,10 +266,10 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             n = len(held)
             first = n - least_overlap(n, similarity) + 1 if n else 0
             digest = np.uint64(xxh64_intdigest(held.tobytes(), 42)).astype(np.int64)
-            rows.append((digest, n, held[np.lexsort((held, count))][:first].view(np.int64)))
-        return pd.DataFrame(rows, columns=["fp", "n", "prefix"])
+            rows.append((digest, n, sketch(held), held[np.lexsort((held, count))][:first].view(np.int64)))
+        return pd.DataFrame(rows, columns=["fp", "n", "sketch", "prefix"])
 
-    return docs.select("doc_id", of(text_of()).alias("f")).select("doc_id", "f.fp", "f.n", "f.prefix")
+    return docs.select("doc_id", of(text_of()).alias("f")).select("doc_id", "f.fp", "f.n", "f.sketch", "f.prefix")
 
 
 def least_overlap(n, similarity: float):
@@ -390,17 +390,42 @@ def crossings(shared: DataFrame) -> float:
     return each.agg(F.sum((F.col("n") * F.col("n") - F.col("same")).cast("double"))).first()[0] or 0.0
 
 
-def sketch(held: np.ndarray, size: int = 256) -> bytes:
-    """How many of the hashes fall into each of `size` classes (255 at most)."""
-    return np.minimum(np.bincount((held % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+def sketch(held: np.ndarray, bits: int = 2048) -> bytes:
+    """For each of `bits` classes of hashes, whether it holds an odd number of them.  Two
+    sketches differ in at most as many bits as there are hashes in one set only."""
+    odd = np.bincount((held % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _marks(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+
+def _near_marks(x: np.ndarray, y: np.ndarray, n, m, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles with those sketches can be as similar as that."""
+    most = (1 - similarity) / (1 + similarity)
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most * (n + m) + 1e-9
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose sketches (fp, n, sketch) leave it open that they are as
+    similar as that; no pair that is gets lost.  A row carries one sketch of fixed size,
+    where verified() sends a whole set of shingles."""
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="bool")
+        return pd.Series(_near_marks(_marks(x.tolist()), _marks(y.tolist()), n.to_numpy(), m.to_numpy(), similarity))
+
+    left, right = (sketches.select(F.col("fp").alias(k), F.col("sketch").alias(v), F.col("n").alias(c)) for k, v, c in (("a", "x", "p"), ("b", "y", "q")))
+    return pairs.join(left, "a").join(right, "b").where(near("x", "y", "p", "q")).select("a", "b")
 
 
 def cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs a, b of sets that share a token, may match and have different roots.  If
-    shared has sketch, too: the sums of differences of two sketches are at most the
-    number of shingles that one set has and the other lacks, which rules most pairs
-    out.  Rows carry nothing that grows with the text, as a long one has many."""
-    most = (1 - similarity) / (1 + similarity)
+    shared has sketch, too, pairs that it rules out are left out.  Rows carry nothing
+    that grows with the text, as a long one has many."""
     large = "sketch" in shared.columns
 
     def pairs(x: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -408,11 +433,11 @@ def cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
         for i, j in _mixed(x, starts):
             n, at, fp, root = (x[c][i:j] for c in ("n", "at", "fp", "root"))
             if large:
-                marks = np.frombuffer(b"".join(x["sketch"][i:j]), np.uint8).reshape(j - i, -1).astype(np.int16)
+                marks = _marks(x["sketch"][i:j])
             for k in range(1, j - i):
                 fits = np.flatnonzero((root[:k] != root[k]) & _may_match(n[:k], at[:k], n[k], at[k], similarity))
                 if large and len(fits):
-                    fits = fits[np.abs(marks[fits] - marks[k]).sum(axis=1) <= most * (n[fits] + n[k]) + 1e-9]
+                    fits = fits[_near_marks(marks[fits], marks[k], n[fits], n[k], similarity)]
                 if len(fits):
                     out.append((fp[fits], np.full(len(fits), fp[k])))
                     held += len(fits)
@@ -463,15 +488,21 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
     the groups so found, further turns hold sets against members of the group that is
     the most frequent around them, so that a dense group costs few of its pairs.  Then
     every candidate across groups is verified, too: a pair is passed over only if
-    verified links join it already, or if sketches show, where more than `small` sets
-    share a shingle, that the two differ too much."""
+    verified links join it already, or if their sketches show that the two differ too
+    much (inside the group where more than `small` sets share a shingle, else once the
+    pair is made)."""
     keyed = with_user(docs)
     doc_id, text = F.col("user.doc_id"), F.col("user.text")
     named = keyed.select(F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "row").alias("doc_id"), text.alias("text"))
-    each = materialize(prefixes(named, width, similarity))
-    firsts = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    distinct = each.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
-    each = each.select("doc_id", "fp")
+    whole = materialize(prefixes(named, width, similarity))
+    with_prefixes = written(docs.sparkSession)[-1:]
+    firsts = materialize(whole.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = whole.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
+    shared = materialize(shared_tokens(distinct, similarity))
+    sharing = whole.select("fp", "n", "sketch").join(shared.select("fp").distinct(), "fp", "left_semi")
+    sketches = materialize(sharing.dropDuplicates(["fp"]))
+    each = materialize(whole.select("doc_id", "fp"))
+    release(docs.sparkSession, with_prefixes)
 
     def texts_of(some: DataFrame) -> DataFrame:
         """fp and one text for each of the digests fp of some."""
@@ -481,13 +512,13 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
         return keyed.select("row", F.coalesce(text, F.lit("")).alias("text")).join(hint(ends), F.col("row") == F.col("end")).dropDuplicates(["fp"])
 
     def holding(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
         before = written(docs.sparkSession)
+        pairs = materialize(possible(pairs, sketches, similarity))
+        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
         out = materialize(verified(pairs, texts_of(ends), width, similarity))
         release(docs.sparkSession, [t for t in written(docs.sparkSession)[:-1] if t not in before])
         return out
 
-    shared = materialize(shared_tokens(distinct, similarity))
     two = shared.select("fp", F.explode(F.array("one", "two")).alias("other")).where("other is not null")
     near = materialize(two.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
     links, tried, enough = holding(near), near, shared.count() / 20
@@ -510,19 +541,13 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
             links = links.unionByName(found)
             roots = components(links)
 
-    @F.pandas_udf("binary")
-    def sketched(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: sketch(np.unique(shingle_hashes(t, width))))
-
     last = materialize(rooted())
     own = last.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("sets")).where("low != high")
     own = materialize(own.select(F.col("token").alias("own"), (F.col("sets") > small).alias("large")))
     few, many = (last.join(own.where(which), F.col("token") == F.col("own"), "left_semi") for which in ("not large", "large"))
     rest = cross_pairs(few, similarity)
     if not own.where("large").isEmpty():
-        some = many.select("fp").distinct()
-        sketches = materialize(texts_of(some).select("fp", sketched("text").alias("sketch")))
-        rest = rest.unionByName(cross_pairs(many.join(sketches, "fp"), similarity)).distinct()
+        rest = rest.unionByName(cross_pairs(many.join(sketches.select("fp", "sketch"), "fp"), similarity)).distinct()
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
     groups = _components(each, firsts, links.unionByName(holding(rest)))
     kept = materialize(groups.where("doc_id = component_id").select(F.col("doc_id.row").alias("kept")).distinct())
