@@ -248,11 +248,12 @@ def common_shingles(docs: DataFrame, width: int, sample: int = 20_000, most: int
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, fp (here a digest of the set of shingles), n (its size), its sketch, and
-    prefix: the rarest shingles, so many that two sets as similar as that share one."""
+    """doc_id, fp (here a digest of the set of shingles), n (its size), its sketch,
+    mark (the text's SimHash fingerprint, as fingerprints() has it), and prefix: the
+    rarest shingles, so many that two sets as similar as that share one."""
     common, often = common_shingles(docs, width)
 
-    @F.pandas_udf("fp long, n long, sketch binary, prefix array<long>")
+    @F.pandas_udf("fp long, n long, sketch binary, mark long, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         from xxhash import xxh64_intdigest
 
@@ -266,10 +267,24 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
             n = len(held)
             first = n - least_overlap(n, similarity) + 1 if n else 0
             digest = np.uint64(xxh64_intdigest(held.tobytes(), 42)).astype(np.int64)
-            rows.append((digest, n, sketch(held), held[np.lexsort((held, count))][:first].view(np.int64)))
-        return pd.DataFrame(rows, columns=["fp", "n", "sketch", "prefix"])
+            rows.append((digest, n, sketch(held), fingerprint(t), held[np.lexsort((held, count))][:first].view(np.int64)))
+        return pd.DataFrame(rows, columns=["fp", "n", "sketch", "mark", "prefix"])
 
-    return docs.select("doc_id", of(text_of()).alias("f")).select("doc_id", "f.fp", "f.n", "f.sketch", "f.prefix")
+    return docs.select("doc_id", of(text_of()).alias("f")).select("doc_id", "f.fp", "f.n", "f.sketch", "f.mark", "f.prefix")
+
+
+def tree_pairs(marked: DataFrame, radius: int = 4) -> DataFrame:
+    """Pairs a, b of the digests marked.fp that join what near_groups() joins by the
+    fingerprints marked.mark: each digest with the least one of its fingerprint, and
+    those of two fingerprints that the shards' BK-trees link."""
+    marked = marked.distinct()
+    least = materialize(marked.groupBy("mark").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("sets")))
+    links = near_links(least.select(F.col("mark").alias("fp")), radius)
+    one, two = (least.select(F.col("mark").alias(k), F.col("least").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    linked = links.join(one, "a").join(two, "b").select("x", "y")
+    within = marked.join(least.where("sets > 1"), "mark").select(F.col("least").alias("x"), F.col("fp").alias("y"))
+    pairs = linked.unionByName(within).where("x != y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def least_overlap(n, similarity: float):
@@ -473,18 +488,28 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").where(jaccard("x", "y") >= similarity).select("a", "b")
 
 
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b whose ends have different roots (a node without one is its own)."""
+    one, two = (roots.select(F.col("node").alias(k), F.col("root").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    known = pairs.join(one, "a", "left").join(two, "b", "left")
+    return known.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast_rows: int = 1_000_000, turns: int = 8, small: int = 16) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id
     stays (a null id is greatest; ties go by a hash of the row), and rows that are
     equal in doc_id and text count once.
 
     Groups are what links of that Jaccard similarity or more join, none left out.
-    Fingerprints can't promise that (at 0.8 they differ in nine or ten bits on
-    average, in no fixed number at most), so candidates are sets that share a shingle
-    of their prefixes: of n shingles in one order for all, the first
+    First the fingerprints of all texts are searched by the BK-trees, as in
+    near_groups(); the pairs they link are computed exactly, and what is verified is
+    joined.  Fingerprints can't promise every link (at 0.8 they differ in nine or ten
+    bits on average, in no fixed number at most, and a link that fails may hide
+    another), so what crosses the groups so found is completed by sets that share a
+    shingle of their prefixes: of n shingles in one order for all, the first
     n - ceil(similarity * n) + 1.  Sizes and places there rule out most of them; the
-    rest is computed exactly.  First each set is held against two of those it shares a
-    shingle with, and what is verified is joined.  While many candidates still cross
+    rest is computed exactly, too.  First each set is held against two of those it shares
+    a shingle with, and what is verified is joined.  While many candidates still cross
     the groups so found, further turns hold sets against members of the group that is
     the most frequent around them, so that a dense group costs few of its pairs.  Then
     every candidate across groups is verified, too: a pair is passed over only if
@@ -497,6 +522,9 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
     whole = materialize(prefixes(named, width, similarity))
     with_prefixes = written(docs.sparkSession)[-1:]
     firsts = materialize(whole.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    earlier = written(docs.sparkSession)
+    trees = materialize(tree_pairs(whole.select("fp", "mark")))
+    release(docs.sparkSession, [t for t in written(docs.sparkSession)[:-1] if t not in earlier])
     distinct = whole.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"))
     shared = materialize(shared_tokens(distinct, similarity))
     sharing = whole.select("fp", "n", "sketch").join(shared.select("fp").distinct(), "fp", "left_semi")
@@ -511,18 +539,25 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, broadcast
         hint = F.broadcast if ends.count() <= broadcast_rows else (lambda t: t)
         return keyed.select("row", F.coalesce(text, F.lit("")).alias("text")).join(hint(ends), F.col("row") == F.col("end")).dropDuplicates(["fp"])
 
-    def holding(pairs: DataFrame) -> DataFrame:
+    def holding(pairs: DataFrame, sketched: bool = True) -> DataFrame:
         before = written(docs.sparkSession)
-        pairs = materialize(possible(pairs, sketches, similarity))
+        if sketched:
+            pairs = materialize(possible(pairs, sketches, similarity))
         ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
         out = materialize(verified(pairs, texts_of(ends), width, similarity))
         release(docs.sparkSession, [t for t in written(docs.sparkSession)[:-1] if t not in before])
         return out
 
-    two = shared.select("fp", F.explode(F.array("one", "two")).alias("other")).where("other is not null")
-    near = materialize(two.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
-    links, tried, enough = holding(near), near, shared.count() / 20
+    links = holding(trees, sketched=False)
     roots = components(links)
+    two = shared.select("fp", F.explode(F.array("one", "two")).alias("other")).where("other is not null")
+    near = two.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    near = materialize(across(near, roots).join(trees, ["a", "b"], "left_anti"))
+    tried, enough = trees.unionByName(near), shared.count() / 20
+    found = holding(near)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        roots = components(links)
 
     def rooted() -> DataFrame:
         return shared.join(roots, shared["fp"] == roots["node"], "left").select("token", "fp", "n", "at", F.coalesce("root", "fp").alias("root"))

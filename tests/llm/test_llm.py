@@ -562,6 +562,64 @@ def test_keep_one_at_the_threshold(spark):
     assert {r["doc_id"] for r in simhash.keep_one(table(spark, texts)).collect()} == wanted
 
 
+def fingerprinted(rng):
+    """Texts in groups of near copies, copies with a word repeated, and odd ones."""
+    texts = [None, "", "a", "A", "one two three", "one two three"]
+    for _ in range(25):
+        parts = words(rng, rng.randrange(150, 900), 10**6).split()
+        for _ in range(rng.randrange(1, 6)):
+            other = list(parts)
+            other[rng.randrange(len(parts))] = f"v{rng.randrange(10**6)}"
+            texts += [" ".join(other)] * rng.randrange(1, 3)
+    texts += [texts[20] + " end", "r s t u v w " * 30, "r s t u v w " * 31]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_tree_pairs(spark):
+    """They join texts just as brute force over all fingerprints of op10 does."""
+    texts = fingerprinted(random.Random(44))
+    marks = [simhash.fingerprint(t or "") for t in texts]
+    bits = lambda i, j: ((marks[i] ^ marks[j]) & (1 << 64) - 1).bit_count() <= 4
+    wanted = groups_of(range(len(texts)), bits)
+    whole = simhash.prefixes(table(spark, texts).select("doc_id", "text"), 5, 0.8)
+    rows = whole.select("doc_id", "fp", "mark").collect()
+    assert {r["doc_id"]: r["mark"] for r in rows} == dict(enumerate(marks))
+    assert {r["doc_id"]: f"{r['mark'] & (1 << 64) - 1:016x}" for r in rows} == {r["doc_id"]: r["fingerprint"] for r in simhash.near_groups(table(spark, texts)).collect()}
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.tree_pairs(whole.select("fp", "mark"))).collect()}
+    got, brute = defaultdict(set), defaultdict(set)
+    for r in rows:
+        got[roots.get(r["fp"], r["fp"])].add(r["doc_id"])
+        brute[wanted[r["doc_id"]]].add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, brute.values())) and len(brute) < len(texts) / 2
+    assert simhash.tree_pairs(whole.select("fp", "mark").limit(0)).count() == 0
+
+
+def test_near_dedup_goes_by_bk_trees(spark, tmp_path, monkeypatch):
+    """The pipeline's stage searches the trees with every text's fingerprint, and joins
+    by the links they give; the result is that of brute force."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = fingerprinted(random.Random(45))
+    searched, joined = [], []
+    links, held = simhash.near_links, simhash.verified
+
+    def near_links(fps, *more):
+        searched.append({r["fp"] for r in fps.collect()})
+        return links(fps, *more)
+
+    def verified(pairs, *more):
+        found = held(pairs, *more)
+        joined.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "near_links", near_links)
+    monkeypatch.setattr(simhash, "verified", verified)
+    left = pipeline.near_dedup(spark, table(spark, texts), str(tmp_path))
+    assert {r["doc_id"] for r in left.collect()} == jaccard_groups([t or "" for t in texts])[0]
+    assert searched == [{simhash.fingerprint(t or "") for t in texts}]
+    assert joined[0] > 20 and joined[0] > sum(joined[1:])
+
+
 def test_fold():
     assert toxicity.fold("1d10t, ІDІОТ! m0r0n### é ｓｃｕｍ 1000 a$$hat") == " idiot idiot moron e scum asshat "
 
